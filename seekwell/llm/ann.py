@@ -6,7 +6,7 @@ The forest is a few megabytes at most (``trees * leaves * dimension`` numbers) a
 Every row is then dealt to one leaf of every tree.
 
 *Search.* A query has one priority queue over all trees; the node with the best margin is opened next, and
-leaves are visited until they hold ``visit`` of all rows (leaf sizes are counted over all rows).  Vectors of a
+leaves are visited until they hold ``visit`` times all rows, repeats over trees counted (leaf sizes are counted over all rows).  Vectors of a
 visited leaf are scored exactly, a block of queries against a block of candidates at a time, and the best
 are merged over leaves and scored again in double precision on the original vectors.
 
@@ -101,7 +101,7 @@ def _matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.zeros((0, 1))
 
 
-def nearest(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding", query_filter: str = "id % 20 = 0", k: int = 20, trees: int = 12, leaves: int = 128, sample: int = 16384, visit: float = 0.7, block: int = 8192) -> DataFrame:
+def nearest(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding", query_filter: str = "id % 20 = 0", k: int = 20, trees: int = 8, leaves: int = 64, sample: int = 16384, visit: float = 1.5, block: int = 8192) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found by largest inner product of each row that ``query_filter`` (on ``id``) admits."""
     spark = df.sparkSession
     ship(spark)
