@@ -62,9 +62,9 @@ CATALOG: dict[str, dict[str, str]] = {
 
 
 def pattern(name: str) -> tuple[str, ...]:
-    """Patterns of ``language/name``; several names joined by ``+`` are united."""
+    """Patterns of ``language/name``; several names joined by commas are united."""
     out: list[str] = []
-    for part in name.split("+"):
+    for part in name.split(","):
         language, _, what = part.partition("/")
         try:
             out += CATALOG[language][what].split("\n")

@@ -26,12 +26,13 @@ def with_context(df: DataFrame, options: SearchOptions, *, before: int = 0, afte
 
 
 def column_context(matches: DataFrame, n: int) -> DataFrame:
-    """Each match with up to ``n`` characters of its line on both sides, cut ends marked by ``...``; needs col and line without tabs."""
+    """Each match with the ``n`` characters of its line on both sides; a longer side is cut to ``n - 2`` before or ``n - 3``
+    after and marked by ``...``.  Needs columns without tabs."""
     start = F.col("col") - 1
-    stop = start + F.char_length("match")
-    left = F.substring(F.col("line"), (F.greatest(start - n, F.lit(0)) + 1).cast("int"), F.least(start, F.lit(n)).cast("int"))
-    right = F.substring(F.col("line"), (stop + 1).cast("int"), F.lit(n))
-    return matches.withColumn("context", F.concat(F.when(start > n, "...").otherwise(""), left, "match", right, F.when(F.char_length("line") - stop > n, "...").otherwise("")))
+    rest = F.char_length("line") - start - F.char_length("match")
+    left = F.when(start > n, F.concat(F.lit("..."), F.substring(F.col("line"), (start - (n - 3)).cast("int"), F.lit(n - 2)))).otherwise(F.substring(F.col("line"), F.lit(1), start.cast("int")))
+    right = F.substring(F.col("line"), (start + F.char_length("match") + 1).cast("int"), F.when(rest > n, n - 3).otherwise(n))
+    return matches.withColumn("context", F.concat(left, "match", right, F.when(rest > n, "...").otherwise("")))
 
 
 def match_lines(matches: DataFrame, *, key: str = "key") -> DataFrame:

@@ -231,5 +231,25 @@ def hexdump(rows: DataFrame, column: str = "match", *, columns: int = 16, offset
     n = F.ceil(F.length("__h") / (2 * columns)).cast("int")
     rows = rows.filter(F.length("__h") > 0).select(*keep, "__f", F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col("__h"), i * (2 * columns) + 1, F.lit(2 * columns)))).alias("__i", "__r"))
     pairs = F.regexp_extract_all("__r", F.lit("(..)"), F.lit(1))
-    shown = F.array_join(F.transform(pairs, lambda p: F.when(p == "--", " ").when((p >= "20") & (p < "7F"), F.decode(F.unhex(p), "US-ASCII")).otherwise(".")), "")
+    # control characters show as the letter of their control key, bytes above ASCII as a point
+    code = lambda p: F.conv(p, 16, 10).cast("int")
+    shown = F.array_join(F.transform(pairs, lambda p: F.when(p == "--", "-").when(code(p) < 32, F.char(code(p) + 64)).when(code(p) < 127, F.char(code(p))).when(code(p) == 127, "~").otherwise(".")), "")
     return rows.select(*keep, (F.col("__f") + F.col("__i") * columns).cast("long").alias("offset"), F.lower(F.array_join(pairs, " ")).alias("hex"), shown.alias("ascii"))
+
+
+_FRAMES = {"json": ("[\n  ", ",\n  ", "\n]\n"), "xml": ("<grep>\n  ", "\n  ", "\n</grep>\n"), "csv": ("", "\n", "\n"), "text": ("", "", "")}
+
+
+def report(outs: DataFrame, style: str = "text", *, order: list[str] = ("key",)):
+    """Pieces of a whole report in order, streamed from the executors: files between the style's opening and closing."""
+    begin, between, end = _FRAMES[style]
+    first = True
+    for row in outs.orderBy(*order).select("out").toLocalIterator():
+        yield (begin if first else between) + row["out"]
+        first = False
+    yield end if not first else (begin.rstrip(" ") + end.lstrip("\n") if style in ("json", "xml") else "")
+
+
+def write_text(outs: DataFrame, path: str, *, order: list[str] = ("key",)) -> None:
+    """Records as text files, in order over files and within them (a range sort)."""
+    outs.orderBy(*order).select(F.col("out").alias("value")).write.text(path)

@@ -375,7 +375,7 @@ def multi_line(spark, sf_dir):
     return search.count_matches(_docs(spark, sf_dir), _O(patterns=(r"[a-z]\.\n[A-Z]",)), key="doc_id")
 
 
-@_query(r"SELECT doc_id, line_no, CASE WHEN s > 10 THEN '...' ELSE '' END || substr(line, greatest(s - 10, 0) + 1, least(s, 10)) || 'license' || substr(line, s + 8, 10) || CASE WHEN length(line) - s - 7 > 10 THEN '...' ELSE '' END AS context FROM (SELECT *, strpos(line, 'license') - 1 AS s FROM lines) WHERE s >= 0")
+@_query(r"SELECT doc_id, line_no, CASE WHEN s > 10 THEN '...' || substr(line, s - 7, 8) ELSE substr(line, 1, s) END || 'license' || substr(line, s + 8, CASE WHEN length(line) - s - 7 > 10 THEN 7 ELSE 10 END) || CASE WHEN length(line) - s - 7 > 10 THEN '...' ELSE '' END AS context FROM (SELECT *, strpos(line, 'license') - 1 AS s FROM lines) WHERE s >= 0")
 def column_context(spark, sf_dir):
     found = search.first_per_line(find_matches(_docs(spark, sf_dir), _O(patterns=("license",)), keep=["doc_id"]), "doc_id")
     return context.column_context(found, 10).select("doc_id", "line_no", "context")
