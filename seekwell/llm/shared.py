@@ -5,13 +5,13 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shipping import ship  # noqa: F401  (operators take it from here)
+
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -31,22 +31,6 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def ship(spark: SparkSession) -> None:
-    """Give this package to Python workers that can't import it from their own path; once a context."""
-    sc = spark.sparkContext
-    if getattr(sc, "_seekwell_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    if root.is_dir():  # else the package was itself shipped as an archive
-        path = Path(tempfile.mkdtemp(prefix="seekwell-py-")) / "seekwell_py.zip"
-        with zipfile.ZipFile(path, "w") as z:
-            for f in sorted(root.rglob("*.py")):
-                z.write(f, f.relative_to(root.parent).as_posix())
-        sc.addPyFile(str(path))
-        _made.append((spark, path.parent.as_uri()))
-    sc._seekwell_shipped = True
-
-
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing uses yet; it is removed when the driver ends."""
     path = f"{shared_dir(spark)}/seekwell-{name}-{uuid.uuid4().hex}"

@@ -71,12 +71,12 @@ class TokenCounter:
         e = self.tok.encode(text, add_special_tokens=False)
         return np.array(e.ids, np.int64), np.array(e.offsets, np.int64).reshape(-1, 2)
 
-    def _splice(self, text: str, left: np.ndarray, right: np.ndarray) -> tuple[int, int] | None:
-        """Token numbers (in the left, in the right encoding) of the first proven boundary in both; offsets are of ``text``."""
+    def _splice(self, text: str, left: np.ndarray, right: np.ndarray) -> tuple[int, int, int] | None:
+        """The first proven boundary in both encodings and its token numbers in the left and in the right one; offsets are of ``text``."""
         both, i, j = np.intersect1d(left[:, 0], right[:, 0], return_indices=True)  # the first token at each place
         for p, a, b in zip(both.tolist(), i.tolist(), j.tolist()):
             if p and text[p - 1] in SPACES:
-                return a, b
+                return p, a, b
         return None
 
     def spliced(self, text: str) -> np.ndarray:
@@ -103,10 +103,10 @@ class TokenCounter:
                     self.widened += 1
             if found is None:
                 break
-            i, j = found
+            p, i, j = found
             out.append(ids[:i])
-            ids, offs = new_ids[j:], new_offs[j:]
-            a, b = start, end
+            ids, offs = new_ids[j:], new_offs[j:] + (start - p)
+            a, b = p, end
         out.append(ids)
         return np.concatenate(out)
 
