@@ -71,6 +71,17 @@ class Finder:
                 yield m.start(), m.end(), i, m
             at = m.end() if m.end() > m.start() else m.end() + 1
 
+    def tokens(self, text: str) -> Iterator[tuple[int, int, int, object]]:
+        """Matches that follow one another from the start of the text without gaps; it ends where none begins."""
+        at = 0
+        while at < len(text):
+            found = [(-(m.end()) if self.compiled.longest else 0, i, m) for i, p in enumerate(self.alternatives, 1) if (m := p.match(text, at)) and m.end() > at]
+            if not found:
+                return
+            _, i, m = min(found, key=lambda x: x[:2])
+            yield m.start(), m.end(), i, m
+            at = m.end()
+
     def records(self, text: str) -> Iterator[dict]:
         """Matches as fields of MATCH, within the option's range of lines, with the line they start in."""
         o = self.options
@@ -136,3 +147,13 @@ def find_matches(df: DataFrame, options: SearchOptions, *, text: str = "text", k
     """One row a match with its place, captures and line; null and empty texts have none."""
     keep, compiled = list(keep), compile_patterns(options)
     return emit(df, text, keep, lambda: Finder(compiled, options).records)
+
+
+class _Scanner(Finder):
+    spans = Finder.tokens
+
+
+def scan_tokens(df: DataFrame, options: SearchOptions, *, text: str = "text", keep: list[str] = ("key",)) -> DataFrame:
+    """One row a token of each text, from its start on as long as one pattern follows another; ``accept`` is the pattern's number."""
+    compiled = compile_patterns(options)
+    return emit(df, text, list(keep), lambda: _Scanner(compiled, options).records)

@@ -176,3 +176,34 @@ def sorted_files(files: DataFrame, by: str = "name", *, path: str = "path", reve
     else:
         order = [F.col({"size": "length", "changed": "modificationTime", "best": "cost"}.get(by, by)), F.col(path)]
     return files.orderBy(*(c.desc() if reverse else c.asc() for c in order))
+
+
+def split_text(df: DataFrame, options: SearchOptions, *, key="key", text: str = "text") -> DataFrame:
+    """(key, piece_no, piece): the text between matches, empty pieces kept."""
+    keys = [key] if isinstance(key, str) else list(key)
+    return df.select(*keys, F.posexplode(F.split(F.col(text), compile_patterns(options).jvm, -1)).alias("piece_no", "piece")).withColumn("piece_no", (F.col("piece_no") + 1).cast("long"))
+
+
+def whole_text(df: DataFrame, options: SearchOptions, *, text: str = "text") -> DataFrame:
+    """Rows whose whole text is one match."""
+    flags, _, rest = compile_patterns(options).jvm.partition(")")
+    hit = F.col(text).rlike(f"{flags})\\A(?:{rest})\\z")
+    return df.filter(~hit if options.invert else hit)
+
+
+def by_binary_policy(df: DataFrame, options: SearchOptions, *, key="key", content: str = "content") -> DataFrame:
+    """(key, line_no, out) of matching lines by ``options.binary``: ``text`` shows lines of all files, ``without-match`` only of text files,
+    ``binary`` one notice for a binary file that matches, ``hex`` and ``with-hex`` lines in hexadecimal (of all, of binary files)."""
+    from .lines import is_binary
+
+    keys = [key] if isinstance(key, str) else list(key)
+    rows = df.select(*keys, F.make_valid_utf8(F.col(content).cast("string")).alias("text"), is_binary(content).alias("binary"))
+    if options.binary == "without-match":
+        rows = rows.filter(~F.col("binary"))
+    hits = matching_lines(rows, options, key=keys, keep=["binary"])
+    shown = {"hex": F.lit(True), "with-hex": F.col("binary")}.get(options.binary, F.lit(False))
+    hits = hits.select(*keys, "line_no", "binary", F.when(shown, F.lower(F.hex(F.encode("line", "UTF-8")))).otherwise(F.col("line")).alias("out"))
+    if options.binary == "binary":
+        notice = hits.filter("binary").select(*keys).distinct().select(*keys, F.lit(None).cast("long").alias("line_no"), F.concat(F.lit("Binary file "), F.concat_ws(",", *(F.col(k).cast("string") for k in keys)), F.lit(" matches")).alias("out"))
+        return hits.filter("not binary").drop("binary").union(notice)
+    return hits.drop("binary")

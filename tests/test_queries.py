@@ -48,6 +48,7 @@ def test_entry(spark):
 @needs_data
 def test_fuzzy_query_has_least_costs(spark):
     rows = QUERIES["fuzzy_best"](spark, SF).collect()
+    assert any(r.match.lower() == "license" and r.cost == 1 for r in rows)
     least = {}
     for r in rows:
         assert least.setdefault(r.doc_id, r.cost) == r.cost <= 2
