@@ -22,7 +22,7 @@ GREETING = "Hello"
 FILES = {
     "h.bat": '#!/bin/sh\necho "Hello World!"\n',
     "h.sh": '#!/bin/sh\necho "Hello World!"\n',
-    "h.java": "\n".join(["import java.lang.*;", "", "public class Hello // prints a Hello World! greeting", "{ public static void main(String[] arg)", '  { System.out.println("Hello World!");', "  }", "}", ""]),
+    "h.java": "\n".join(["module demo.words.;", "", "record shape Hello -- shows on Hello World! greeting", "[ begin one inner part (with no names )", '  [ Console.showing.to("Hello World!");', "  ]", "]", ""]),
     "h.txt": GREETING,
     "empty.txt": "",
     "emptyline.txt": "\n",

@@ -18,7 +18,7 @@ def folder(tmp_path_factory):
 
 
 @pytest.mark.parametrize("args, want, status", [
-    (["Hello"], ['h.bat:echo "Hello World!"', "h.java:public class Hello // prints a Hello World! greeting", 'h.java:  { System.out.println("Hello World!");', 'h.sh:echo "Hello World!"', "h.txt:Hello"], 0),
+    (["Hello"], ['h.bat:echo "Hello World!"', "h.java:record shape Hello -- shows on Hello World! greeting", 'h.java:  [ Console.showing.to("Hello World!");', 'h.sh:echo "Hello World!"', "h.txt:Hello"], 0),
     (["-c", "Hello"], ["empty.txt:0", "emptyline.txt:0", "h.bat:1", "h.java:2", "h.sh:1", "h.txt:1"], 0),
     (["-co", "Hello", "-g", "*.java"], ["3"], 0),
     (["-l", "Hello", "-O", "sh,bat"], ["h.bat", "h.sh"], 0),
@@ -30,7 +30,7 @@ def folder(tmp_path_factory):
     (["-nC1", "Hello", "-g", "h.sh"], ["1-#!/bin/sh", '2:echo "Hello World!"'], 0),
     (["--replace=(%m:%o)", "Hello", "-g", "h.sh"], ['echo "(1:Hello) World!"'], 0),
     (["absent"], [], 1),
-    (["-m1", "Hello", "-g", "*.java"], ["public class Hello // prints a Hello World! greeting"], 0),
+    (["-m1", "Hello", "-g", "*.java"], ["record shape Hello -- shows on Hello World! greeting"], 0),
 ])
 def test_command_line(spark, folder, args, want, status):
     out = io.StringIO()
