@@ -7,10 +7,12 @@ of A-Z; equal words always have equal hashes.
 
 from __future__ import annotations
 
+import ctypes
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 _M = (1 << 64) - 1
 _P = 0x9E3779B97F4A7C15 | 1
@@ -53,6 +55,26 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def release() -> None:
+    """Give memory that a task has freed back to the system: idle workers count towards their executor's limit."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` whose workers release memory after each task."""
+    def tidy(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(tidy, schema)
+
+
 @dataclass
 class Words:
     """Words of a batch. ``bounds[i]:bounds[i+1]`` are those of text i; start and end are byte positions in ``data``."""

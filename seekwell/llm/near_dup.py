@@ -9,12 +9,14 @@
    groups of bits, counted by population count, corrected for the 2**-bits chance of equal bits); pairs whose
    estimate is hopelessly low are let go, all others are confirmed on full sets.
 4. Links give components.  Bands whose members lie in several components are taken up again without their
-   pivots, which have been compared with all of the band, until every band is in one component or empty;
-   after ``rounds`` rounds what is left of the open bands is compared in blocks by signature.  So every pair
-   of a band is compared, or is known to be in one component, and no group is expanded into all its pairs.
+   pivots, which have been compared with all of the band (``rounds`` times).  Documents of bands still open
+   form clusters; in a cluster every two documents of different components are compared, by signature and
+   unless hopeless on full sets, in pairs of blocks of bounded bytes.  A large component has blocks of its
+   own, which are not compared with one another.  So every pair of a band is compared, or is known to be in
+   one component, and no group is expanded into all its pairs.
 
 With 40 bands of 5 rows a pair at similarity 0.8 is missed with probability 1.3e-7, and the estimate's
-threshold lies more than 7 standard deviations below it.
+threshold (0.65) lies 5 standard deviations below it.
 
 Hot pivots are salted, full sets are joined only for candidates, and every table that is read again is
 written to the shared folder.
@@ -34,12 +36,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .graph import components
-from .kernels import SPACED, common, mix, shingle_set, words
-from .shared import group_of_row, ship, written
+from .graph import components, forest, joined
+from .kernels import SPACED, common, map_arrow, mix, release, shingle_set, words
+from .shared import discard, group_of_row, sent_if_small, ship, written
 
 BANDS, ROWS, BITS = 40, 5, 4
-LOW = 0.5
+LOW = 0.65
 _rng = np.random.default_rng(8)
 _A = _rng.integers(0, 1 << 62, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 62, BANDS * ROWS, dtype=np.uint64)
@@ -103,7 +105,7 @@ def sign(df: DataFrame, *, key: str, text: str, shingle: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(b) for b in bands]))), pa.int32()), pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), lists, pa.array(sigs, pa.binary())], names=SIGNED.names)
 
-    return df.select(df[key].cast("long").alias("doc_id"), df[text].alias("text")).mapInArrow(run, SIGNED)
+    return map_arrow(df.select(df[key].cast("long").alias("doc_id"), df[text].alias("text")), run, SIGNED)
 
 
 SETS = T.StructType([T.StructField("doc", T.LongType()), T.StructField("members", T.BinaryType()), T.StructField("sig", T.BinaryType())])
@@ -119,7 +121,7 @@ def _sets(df: DataFrame, shingle: int) -> DataFrame:
                 s = [shingle_set(w.hash[a:b], shingle) for a, b in zip(w.bounds[:-1].tolist(), w.bounds[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in s], pa.binary()), pa.array([packed(minima(x)).tobytes() for x in s], pa.binary())], names=SETS.names)
 
-    return df.mapInArrow(run, SETS)
+    return map_arrow(df, run, SETS)
 
 
 LINKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
@@ -152,34 +154,116 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int, per_salt: int = 256
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=LINKS.names)
 
-    return rows.mapInArrow(run, LINKS)
-
-
-def _open_pairs(open_bands: DataFrame, sets: DataFrame, block: int) -> DataFrame:
-    """All pairs of different components in bands still open whose signatures admit the similarity, in blocks of ``block`` members."""
-    rows = open_bands.select("band", "doc", "comp").join(sets.select("doc", "sig"), "doc")
-    blocks = rows.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
-    rows = rows.join(blocks, "band").withColumn("i", group_of_row("doc", F.col("blocks")))
-    rows = rows.withColumn("j", F.explode(F.expr("sequence(0L, blocks - 1)"))).select("band", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), F.col("i").alias("own"), "doc", "comp", "sig")
+    return map_arrow(rows, run, LINKS)
+
+
+class _Forest:
+    """Which components of a task's documents its own links have joined."""
+
+    def __init__(self, comp: np.ndarray):
+        names, self.of = np.unique(comp, return_inverse=True)
+        self.up = np.arange(len(names))
+
+    def roots(self) -> np.ndarray:
+        while True:
+            up = self.up[self.up]
+            if np.array_equal(up, self.up):
+                return self.up[self.of]
+            self.up = up
+
+    def join(self, i: int, j: int) -> None:
+        r = self.roots()
+        self.up[max(r[i], r[j])] = min(r[i], r[j])
+
+
+def _cross(sets: list[np.ndarray], sigs: np.ndarray, comp: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between documents of ``left`` and ``right`` (numbers) that join components not yet joined; every pair of
+    different components is compared, by signature and, unless hopeless, on full sets."""
+    joined, out = _Forest(comp), []
+    sizes = np.array([len(s) for s in sets])
+    starts = values = owner = None
+    for i in left.tolist():
+        roots = joined.roots()
+        js = right[roots[right] != roots[i]]
+        js = js[(100 * np.minimum(sizes[js], sizes[i]) >= percent * np.maximum(sizes[js], sizes[i]))]
+        js = js[estimate(sigs[js], sigs[i]) >= LOW] if len(js) else js
+        if len(js) > 24:  # count in one go by the shingles' lists of documents
+            if values is None:
+                shingles = np.concatenate([sets[j] for j in right.tolist()])
+                docs = np.repeat(np.arange(len(right)), sizes[right])
+                order = np.argsort(shingles, kind="stable")
+                owner = docs[order]
+                values, starts = np.unique(shingles[order], return_index=True)
+                starts = np.append(starts, len(owner))
+                place = np.full(len(sets), -1)
+                place[right] = np.arange(len(right))
+            at = np.searchsorted(values, sets[i])
+            at[at == len(values)] = 0
+            at = at[values[at] == sets[i]]
+            n = np.zeros(len(right), np.int64)
+            for x, y in zip(starts[at].tolist(), starts[at + 1].tolist()):
+                n[owner[x:y]] += 1
+            n = n[place[js]]
+        else:
+            n = np.array([common(sets[j], sets[i]) for j in js.tolist()], np.int64)
+        for j in js[100 * n >= percent * (sizes[js] + sizes[i] - n)].tolist():
+            if roots[j] != roots[i]:
+                out.append((i, j))
+                joined.join(i, j)
+                roots = joined.roots()
+    return out
+
+
+def _settle(open_bands: DataFrame, sets: DataFrame, percent: int, block_bytes: int) -> DataFrame:
+    """Links (a, b) that join components within clusters of documents connected by open bands.
+
+    A cluster's documents are dealt into blocks of about ``block_bytes`` of sets; a large component has blocks of its
+    own, small ones share.  Each pair of blocks is one group, unless both are of one component."""
+    clusters = components(open_bands.select(F.col("doc").alias("a"), F.col("pivot").alias("b")))
+    clusters = clusters.select(F.col("node").alias("doc"), F.col("comp").alias("cluster"))
+    rows = open_bands.select("doc", F.col("comp").alias("own")).distinct().join(clusters, "doc")
+    rows = rows.join(sets, "doc").withColumn("bytes", F.octet_length("members") + 256)
+    rows = written(rows, "settle")
+    by = rows.groupBy("cluster", "own").agg(F.sum("bytes").alias("n"))
+    by = by.withColumn("pure", F.col("n") * 2 > block_bytes)
+    pool = by.groupBy("cluster").agg(F.ceil(F.coalesce(F.sum(F.when(~F.col("pure"), F.col("n"))), F.lit(0)) / block_bytes).alias("pool"))
+    by = by.join(pool, "cluster").select("cluster", "own", "pure", F.ceil(F.col("n") / block_bytes).alias("blocks"), F.greatest(F.col("pool"), F.lit(1)).alias("pool"))
+    block = F.when(F.col("pure"), F.concat_ws("/", F.lit("p"), F.col("own").cast("string"), group_of_row("doc", F.col("blocks")).cast("string"))).otherwise(F.concat(F.lit("s/"), group_of_row("own", F.col("pool")).cast("string")))
+    dealt = rows.join(by, ["cluster", "own"]).withColumn("block", block).select("cluster", "block", F.when(F.col("pure"), F.col("own")).alias("only"), "doc", "own", "members", "sig")
+    blocks = dealt.select("cluster", "block", "only").distinct()
+    pairs = blocks.alias("x").join(blocks.alias("y"), F.expr("x.cluster = y.cluster and x.block <= y.block and not (x.only <=> y.only and x.only is not null)"))
+    pairs = pairs.select(F.col("x.cluster").alias("cluster"), F.col("x.block").alias("lo"), F.col("y.block").alias("hi"))
+    sides = pairs.select("cluster", "lo", "hi", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("block"))
+    groups = sides.join(dealt, ["cluster", "block"]).select("cluster", "lo", "hi", "block", "doc", "own", "members", "sig")
 
     def run(t: pa.Table) -> pa.Table:
-        own, docs, comp = (t[c].to_numpy() for c in ("own", "doc", "comp"))
-        sigs = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint64).reshape(len(docs), -1)
-        lo, hi = t["lo"][0].as_py(), t["hi"][0].as_py()
-        left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
-        a, b = [], []
-        for i in left.tolist():
-            js = right[(comp[right] != comp[i]) & ((docs[right] > docs[i]) | (lo != hi))]
-            js = js[estimate(sigs[js], sigs[i]) >= LOW] if len(js) else js
-            a.append(np.full(len(js), docs[i]))
-            b.append(docs[js])
-        cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        return pa.table({"doc": pa.array(cat(a), pa.int64()), "pivot": pa.array(cat(b), pa.int64())})
-
-    return rows.groupBy("band", "lo", "hi").applyInArrow(run, "doc long, pivot long").distinct()
-
-
-def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, rounds: int = 3, block: int = 512) -> DataFrame:
+        t = t.combine_chunks()
+        sets_ = [np.frombuffer(x.as_buffer(), np.uint64) for x in t["members"]]
+        sigs = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint64).reshape(len(sets_), -1)
+        block_of, lo, hi = np.array(t["block"].to_pylist()), t["lo"][0].as_py(), t["hi"][0].as_py()
+        docs = t["doc"].to_numpy()
+        found = _cross(sets_, sigs, t["own"].to_numpy(), np.flatnonzero(block_of == lo), np.flatnonzero(block_of == hi), percent)
+        release()
+        return pa.table({"a": pa.array([docs[i] for i, _ in found], pa.int64()), "b": pa.array([docs[j] for _, j in found], pa.int64())})
+
+    out = written(groups.groupBy("cluster", "lo", "hi").applyInArrow(run, LINKS), "settled")
+    discard(rows)
+    return out
+
+
+def _still_open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members (band, doc, comp, pivot, pcomp) of the bands that lie in several components; the pivot is the band's least member."""
+    now = members.join(labels, F.col("doc") == F.col("node"), "left").select("band", "doc", F.coalesce("comp", "doc").alias("comp"))
+    heads = now.groupBy("band").agg(F.min("doc").alias("pivot"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("band", "pivot")
+    pcomp = labels.select(F.col("node").alias("n"), F.col("comp").alias("c"))
+    # written first, so that Spark can split the bands' rows in the join that follows
+    heads = written(heads.join(pcomp, F.col("pivot") == F.col("n"), "left").select("band", "pivot", F.coalesce("c", "pivot").alias("pcomp")), "heads")
+    out = written(now.join(heads, "band"), "open")
+    discard(heads)
+    return out
+
+
+def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, rounds: int = 0, block_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row; ``kept`` marks the least id of each component."""
     ship(df.sparkSession)
     signed = written(sign(df, key=key, text=text, shingle=shingle), "signed")
@@ -188,38 +272,45 @@ def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", s
     # of rows that share the least id of a class any gives the same minima
     hashed = signed.select(F.col("digest").alias("d"), "doc_id", "bands").join(reps, (F.col("d") == F.col("digest")) & (F.col("doc_id") == F.col("rep")))
     hashed = hashed.select(F.col("doc_id").alias("doc"), F.explode("bands").alias("band"))
-    pivots = hashed.groupBy("band").agg(F.min("doc").alias("pivot"), F.max("doc").alias("other")).filter("pivot < other").select("band", "pivot")
+    pivots = written(hashed.groupBy("band").agg(F.min("doc").alias("pivot"), F.max("doc").alias("other")).filter("pivot < other").select("band", "pivot"), "pivots")
     members = written(hashed.join(pivots, "band").distinct(), "members")
+    discard(pivots)
 
-    labels = None
+    labels, done = None, [members]
     if not members.isEmpty():
-        involved = members.select("doc").distinct()
-        texts = df.select(df[key].cast("long").alias("doc"), df[text].alias("text")).join(involved, "doc", "left_semi")
-        sets = written(_sets(texts, shingle).dropDuplicates(["doc"]), "sets")
-        first = members.groupBy("doc").agg(F.min("pivot").alias("pivot")).filter("doc <> pivot")
-        first = written(first, "pairs")
-        links = written(confirm(first, sets, percent), "confirmed")
-        tested, labels = first, written(components(links), "labels")
+        involved = written(members.select("doc").distinct(), "involved")
+        texts = df.select(df[key].cast("long").alias("doc"), df[text].alias("text")).join(sent_if_small(involved), "doc", "left_semi")
+        sets = written(_sets(texts, shingle), "sets")
+        tested = written(members.groupBy("doc").agg(F.min("pivot").alias("pivot")).filter("doc <> pivot"), "pairs")
+        links = written(confirm(tested, sets, percent), "confirmed")
+        labels = forest(links.select(F.col("a").alias("node"), F.col("b").alias("parent")))
+        done += [involved, sets, tested, links]
         members = members.select("band", "doc")
         for turn in range(rounds + 1):
-            now = members.join(labels, F.col("doc") == F.col("node"), "left").select("band", "doc", F.coalesce("comp", "doc").alias("comp"))
-            heads = now.groupBy("band").agg(F.min(F.struct("doc", "comp")).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("band", F.col("p.doc").alias("pivot"), F.col("p.comp").alias("pcomp"))
-            now = written(now.join(heads, "band"), "open")
+            now = _still_open(members, labels)
+            done.append(now)
             if now.isEmpty():
                 break
-            last = turn == rounds
-            pairs = _open_pairs(now, sets, block) if last else now.filter("comp <> pcomp").select("doc", "pivot").distinct()
-            pairs = written(pairs.join(tested, ["doc", "pivot"], "left_anti"), "pairs")
-            new = written(confirm(pairs, sets, percent), "confirmed")
+            if turn < rounds:
+                pairs = written(now.filter("comp <> pcomp").select("doc", "pivot").distinct().join(tested, ["doc", "pivot"], "left_anti"), "pairs")
+                new = written(confirm(pairs, sets, percent), "confirmed")
+                tested = tested.union(pairs)
+                done += [pairs, new]
+                members = now.filter("doc <> pivot").select("band", "doc")
+            else:
+                new = _settle(now, sets, percent, block_bytes)
+                done.append(new)
             if not new.isEmpty():
-                links = links.union(new)
-                labels = written(components(links), "labels")
-            tested = tested.union(pairs)
-            members = now.filter("doc <> pivot").select("band", "doc")
+                done.append(labels)
+                labels = joined(labels, new)
 
     places = reps.select("digest", F.col("rep").alias("comp"))
     if labels is not None:
-        places = reps.join(labels, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("comp", "rep").alias("comp"))
+        places = written(reps.join(labels, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("comp", "rep").alias("comp")), "places")
+        done += [labels, reps]
+    discard(*done)
     out = signed.select("doc_id", "n_shingles", F.col("digest").alias("d")).join(places, F.col("d") == F.col("digest"), "left")
     component = F.coalesce("comp", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    out._seekwell_tables = [signed, places]
+    return out

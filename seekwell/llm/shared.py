@@ -58,7 +58,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._seekwell_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of ``written`` that nothing reads any more."""
+    for t in tables:
+        if path := getattr(t, "_seekwell_path", None):
+            remove(t.sparkSession, path)
+            _made[:] = [m for m in _made if m[1] != path]
+
+
+def sent_if_small(keys: DataFrame, most_rows: int = 1 << 21) -> DataFrame:
+    """A written table of narrow keys, to be broadcast if its counted rows are at most ``most_rows`` (some tens of megabytes);
+    else Spark joins it by shuffling."""
+    return F.broadcast(keys) if keys.count() <= most_rows else keys
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
