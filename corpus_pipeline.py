@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seekwell.llm import decontaminate, mixing, near_dup, packing, quality
-from seekwell.llm.shared import free_name, table, written
+from seekwell.llm.shared import discard, free_name, sent_if_small, table, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,9 +23,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The least id of each group of near duplicates (five-word shingles, similarity 0.8); of rows equal in id and text, one."""
-    found = written(near_dup.near_duplicates(docs), "groups")
-    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("sw_gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == F.col("sw_gone"), "left_anti")
+    groups = near_dup.near_duplicates(docs)
+    found = written(groups, "groups")
+    discard(*groups._seekwell_tables)
+    gone = written(found.filter(~F.col("kept")).select(F.col("doc_id").alias("sw_gone")).distinct(), "gone")
+    kept = docs.join(sent_if_small(gone), docs["doc_id"] == F.col("sw_gone"), "left_anti")
     if not found.groupBy("doc_id").count().filter("count > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id", "text"])
     return kept

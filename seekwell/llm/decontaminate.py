@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernels import ALNUM, Words, grams, words
+from .kernels import ALNUM, Words, grams, map_arrow, words
 from .shared import free_name, schema_with, ship, written
 
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -201,7 +201,7 @@ def contamination(df: DataFrame, benchmark: DataFrame, *, text: str = "text", it
     out = df
     for j, b in enumerate(sent):
         last = j == len(sent) - 1
-        out = out.mapInArrow(over(b, j == 0, last), final if last else passed)
+        out = map_arrow(out, over(b, j == 0, last), final if last else passed)
         if not last:
             out = written(out, "hits")
     return out

@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .kernels import map_arrow
 from .shared import ship
 
 EOS = 50256
@@ -153,7 +154,7 @@ def pack(df: DataFrame, vocabulary: str, *, text: str = "text", key: str = "doc_
         if pieces:
             yield _rows(pieces, capacity, eos, dtype, shard, row)
 
-    return df.mapInArrow(run, SCHEMA)
+    return map_arrow(df, run, SCHEMA)
 
 
 def unpack(rows, capacity: int = 2048, eos: int = EOS, dtype="<u2") -> dict:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernels import CASED, SPACED, bytes_of, words
+from .kernels import CASED, SPACED, bytes_of, map_arrow, words
 from .shared import schema_with, ship
 
 _SEGMENT = 1 << 20
@@ -149,7 +149,7 @@ def learnable(key) -> F.Column:
     return F.pmod(F.crc32(key.cast("string")), F.lit(5)) != 0
 
 
-def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", may_learn=learnable, max_rows: int = 4096, buckets: int = 1 << 18, **options) -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", may_learn=learnable, max_rows: int = 2048, buckets: int = 1 << 18, **options) -> Model:
     """A model from at most ``max_rows`` labelled rows that ``may_learn`` admits."""
     ship(docs.sparkSession)
     chosen = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull() & may_learn(F.col(key))).groupBy(F.col(key).alias("k")).agg(F.max(label).cast("int").alias("y"))
@@ -166,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(1), pa.array([f.tobytes() for f, _ in made], pa.binary()), pa.array([w.tobytes() for _, w in made], pa.binary())], names=schema.names)
 
     got, seen = [], set()
-    for r in sorted(rows.mapInArrow(run, schema).collect(), key=lambda r: (r["id"], r["f"], r["w"])):
+    for r in sorted(map_arrow(rows, run, schema).collect(), key=lambda r: (r["id"], r["f"], r["w"])):
         if r["id"] not in seen:  # one row of a repeated id keeps the bound
             seen.add(r["id"])
             got.append(r)
@@ -186,4 +186,4 @@ def score(df: DataFrame, model: Model, *, text: str = "text", out: str = "score"
             logit = np.clip(mean_weights(batch.column(column), weight) + bias, -60, 60)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-logit)))], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .kernels import map_arrow
 from .shared import ship
 
 SPACES = " \n\t\r"
@@ -151,4 +152,4 @@ def count_tokens(df: DataFrame, tokenizer: str, *, text: str = "text", keep: tup
                 size = np.array([0 if t is None else len(t) if t.isascii() else len(t.encode()) for t in texts], np.int64)
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array(n > limit)], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
