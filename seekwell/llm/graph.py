@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .shared import discard, written
+from .shared import discard, sent_if_small, written
 
 
 def _kept(e: DataFrame) -> tuple[DataFrame, tuple]:
@@ -24,13 +24,14 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     e, state = _kept(e)
     while state[0]:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
+        # written, so that a small table is sent to the tasks and, beyond that, Spark can split a hub's links
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = both.filter("v > u").join(sent_if_small(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        lower = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = large.join(sent_if_small(lower), "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lower.select("u", F.col("m").alias("v"))).distinct()
         old, before = e, state
         e, state = _kept(small)
-        discard(old)
+        discard(old, least, lower)
         if before == state:
             break
     out = e.groupBy("u").agg(F.min("v").alias("comp")).select(F.col("u").alias("node"), "comp").union(e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
