@@ -30,7 +30,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import new_folder, ship, written
+from .kernels import map_arrow
+from .shared import new_folder, sent_if_small, ship, written
 
 MAGIC = 0x184D2A5D
 ZSTD = b"\x28\xb5\x2f\xfd"
@@ -190,9 +191,11 @@ def read_archive(stream, path: str = "", max_record: int = 1 << 31):
 def marked(df: DataFrame, *, key: str = "page_id", url: str = "url", payload: str = "html", least: int = 1000) -> DataFrame:
     """page_id, url, payload (binary), sha1, record_type and refers_to of every row."""
     rows = df.select(df[key].cast("long").alias("page_id"), df[url].cast("string").alias("url"), F.coalesce(df[payload].cast("binary"), F.lit(b"")).alias("payload"))
-    rows = rows.withColumns({"sha1": F.sha1("payload"), "same": F.when(F.octet_length("payload") >= least, F.sha2("payload", 256))})
+    rows = rows.withColumns({"sha1": F.sha1("payload"), "same": F.when(F.octet_length("payload") >= least, F.unhex(F.sha2("payload", 256)))})
     best = rows.filter(F.col("same").isNotNull()).groupBy("same").agg(F.max("page_id").alias("best"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("same").alias("s"), "best")
-    rows = rows.join(best, F.col("same") == F.col("s"), "left")
+    # written first: a small table is sent to the tasks, with a large one Spark can split a payload that many pages have
+    best = written(best, "payloads")
+    rows = rows.join(sent_if_small(best, 1 << 19), F.col("same") == F.col("s"), "left")
     revisit = F.col("best").isNotNull() & ~F.col("best").eqNullSafe(F.col("page_id"))
     return rows.select("page_id", "url", "payload", "sha1", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("best")).alias("refers_to"))
 
@@ -227,7 +230,7 @@ def write_archives(rows: DataFrame, folder: str, *, samples: int = 200, max_reco
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*done)], names=MANIFEST.names)
 
-    return written(rows.mapInArrow(run, MANIFEST), "manifest")
+    return written(map_arrow(rows, run, MANIFEST), "manifest")
 
 
 def read_archives(spark: SparkSession, manifest: DataFrame, tasks: int | None = None) -> DataFrame:
@@ -252,7 +255,7 @@ def read_archives(spark: SparkSession, manifest: DataFrame, tasks: int | None =
                     yield _batch(rows)
 
     files = manifest.select("path", "records")
-    return files.repartition(tasks or max(1, files.count()), "path").mapInArrow(run, RECORDS)
+    return map_arrow(files.repartition(tasks or max(1, files.count()), "path"), run, RECORDS)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
