@@ -29,6 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .kernels import map_arrow
 from .shared import group_of_row, ship, written
 
 
@@ -101,7 +102,7 @@ def _matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.zeros((0, 1))
 
 
-def nearest(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding", query_filter: str = "id % 20 = 0", k: int = 20, trees: int = 8, leaves: int = 64, sample: int = 16384, visit: float = 1.5, block: int = 8192) -> DataFrame:
+def nearest(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding", query_filter: str = "id % 20 = 0", k: int = 20, trees: int = 8, leaves: int = 64, sample: int = 16384, visit: float = 2.0, block: int = 8192) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found by largest inner product of each row that ``query_filter`` (on ``id``) admits."""
     spark = df.sparkSession
     ship(spark)
@@ -137,7 +138,7 @@ def nearest(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding", qu
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * trees), pa.array(at.ravel(), pa.int32()))], names=["class", "v", "leaf"])
 
     vt = f"array<{kind}>"
-    dealt = written(reps.mapInArrow(deal, f"class long, v {vt}, leaf array<int>"), "leaves")
+    dealt = written(map_arrow(reps, deal, f"class long, v {vt}, leaf array<int>"), "leaves")
     counts = np.zeros(trees * n_leaves, np.int64)
     for r in dealt.select(F.explode("leaf").alias("leaf")).groupBy("leaf").count().collect():  # one row a leaf of the bounded forest
         counts[r["leaf"]] = r["count"]
@@ -150,7 +151,7 @@ def nearest(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding", qu
             seen = [f.visits(q, n, visit * total) for q in v]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(seen, pa.list_(pa.int32()))], names=["class", "v", "leaf"])
 
-    asked = queries.select("class").distinct().join(reps, "class").mapInArrow(seek, f"class long, v {vt}, leaf array<int>")
+    asked = map_arrow(queries.select("class").distinct().join(reps, "class"), seek, f"class long, v {vt}, leaf array<int>")
     asked = written(asked, "visits").select(F.lit(1).alias("kind"), "class", "v", F.explode("leaf").alias("leaf"))
     parts = F.element_at(F.array(*(F.lit(int(c)) for c in -(-np.maximum(counts, 1) // block))), F.col("leaf") + 1) if counts.max(initial=0) > block else F.lit(1)
     own = dealt.select(F.lit(0).alias("kind"), "class", "v", F.explode("leaf").alias("leaf"))
@@ -189,7 +190,7 @@ def nearest(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding", qu
                     keep = order[np.arange(len(order)) % n < k + 1]
                     yield pa.RecordBatch.from_arrays([pa.array(classes[q[keep]]), pa.array(ids[0][c[keep]]), pa.array(exact[keep])], names=HITS.names)
 
-    hits = both.mapInArrow(rank, HITS).groupBy("q", "c").agg(F.first("score").alias("score"))
+    hits = map_arrow(both, rank, HITS).groupBy("q", "c").agg(F.first("score").alias("score"))
     best = hits.withColumn("n", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "c"))).filter(F.col("n") <= k + 1).select("q", "c", "score")
     ids = members.select(F.col("class").alias("c"), F.col("id").alias("vec_id"))
     order = W.partitionBy("q").orderBy(F.desc("score"), "vec_id")
