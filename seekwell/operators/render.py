@@ -224,17 +224,19 @@ def hexdump(rows: DataFrame, column: str = "match", *, columns: int = 16, offset
     if not 8 <= columns <= 64:
         raise ValueError("8 to 64 octets a row")
     base = F.col(offset) if offset else F.lit(0)
-    data = F.hex(F.col(column) if rows.schema[column].dataType == T.BinaryType() else F.encode(column, "UTF-8"))
-    first = (base - F.pmod(base, F.lit(columns))).cast("long")
     lead = F.pmod(base, F.lit(columns)).cast("int")
-    rows = rows.select(*keep, first.alias("__f"), F.concat(F.repeat(F.lit("--"), lead), data).alias("__h"))
-    n = F.ceil(F.length("__h") / (2 * columns)).cast("int")
-    rows = rows.filter(F.length("__h") > 0).select(*keep, "__f", F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col("__h"), i * (2 * columns) + 1, F.lit(2 * columns)))).alias("__i", "__r"))
+    data = F.col(column) if rows.schema[column].dataType == T.BinaryType() else F.encode(column, "UTF-8")
+    rows = rows.select(*keep, (base - lead).cast("long").alias("__f"), lead.alias("__lead"), data.alias("__d")).filter(F.length("__d") > 0)
+    n = F.ceil((F.col("__lead") + F.length("__d")) / columns).cast("int")
+    # bytes are cut, not characters: a cut of bytes costs the same everywhere in a long text
+    cut = lambda i: F.hex(F.substring(F.col("__d"), F.greatest(i * columns - F.col("__lead"), F.lit(0)) + 1, F.when(i == 0, columns - F.col("__lead")).otherwise(columns)))
+    rows = rows.select(*keep, "__f", "__lead", F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), cut)).alias("__i", "__r"))
+    rows = rows.withColumn("__r", F.when(F.col("__i") == 0, F.concat(F.repeat(F.lit("--"), F.col("__lead")), "__r")).otherwise(F.col("__r")))
     pairs = F.regexp_extract_all("__r", F.lit("(..)"), F.lit(1))
     # control characters show as the letter of their control key, bytes above ASCII as a point
     code = lambda p: F.conv(p, 16, 10).cast("int")
     shown = F.array_join(F.transform(pairs, lambda p: F.when(p == "--", "-").when(code(p) < 32, F.char(code(p) + 64)).when(code(p) < 127, F.char(code(p))).when(code(p) == 127, "~").otherwise(".")), "")
-    return rows.select(*keep, (F.col("__f") + F.col("__i") * columns).cast("long").alias("offset"), F.lower(F.array_join(pairs, " ")).alias("hex"), shown.alias("ascii"))
+    return rows.select(*keep, (F.col("__f") + F.col("__i") * columns).cast("long").alias("offset"), F.lower(F.rtrim(F.regexp_replace("__r", "(..)", "$1 "))).alias("hex"), shown.alias("ascii"))
 
 
 _FRAMES = {"json": ("[\n  ", ",\n  ", "\n]\n"), "xml": ("<grep>\n  ", "\n  ", "\n</grep>\n"), "csv": ("", "\n", "\n"), "text": ("", "", "")}
