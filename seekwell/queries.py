@@ -433,10 +433,24 @@ def archive_parts(spark, sf_dir):
 
 @_query("SELECT doc_id, md5(text) AS utf16, md5(text) AS utf32, md5(text) AS koi8 FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*')", with_lines=False)
 def decode_encodings(spark, sf_dir):
+    """ASCII documents only, as its SQL says; ``decode_all_documents`` covers the whole table."""
     docs = _docs(spark, sf_dir).filter(F.col("text").rlike(r"\A[\x00-\x7F]*\z"))
     return docs.select("doc_id", *(F.md5(encodings.decoded(F.encode("text", charset), name)).alias(out) for charset, name, out in (("UTF-16", "utf-8", "utf16"), ("UTF-32", "utf-32", "utf32"), ("US-ASCII", "koi8-r", "koi8"))))
 
 
+_LATIN9 = r"[\x00-\x{A3}\x{A5}\x{A7}\x{A9}-\x{B3}\x{B5}-\x{B7}\x{B9}-\x{BB}\x{BF}-\x{FF}\x{152}\x{153}\x{160}\x{161}\x{178}\x{17D}\x{17E}\x{20AC}]*"
+
+
+@_query(rf"SELECT doc_id, md5(text) AS utf16, md5(text) AS utf32, CASE WHEN regexp_full_match(text, '[\x00-\x7F]*') THEN md5(text) END AS koi8, CASE WHEN regexp_full_match(text, '{_LATIN9}') THEN md5(text) END AS latin9 FROM documents", with_lines=False)
+def decode_all_documents(spark, sf_dir):
+    """Every document by way of UTF-16, UTF-32 and two code pages; a page that lacks one of its characters gives null in that column alone."""
+    ascii_ = F.when(F.col("text").rlike(r"\A[\x00-\x7F]*\z"), F.encode("text", "US-ASCII"))
+    # ISO-8859-15 is ISO-8859-1 but for eight characters
+    latin9 = F.when(F.col("text").rlike(rf"\A{_LATIN9}\z"), F.encode(F.translate("text", "€ŠšŽžŒœŸ", "¤¦¨´¸¼½¾"), "ISO-8859-1"))
+    docs = _docs(spark, sf_dir).select("doc_id", F.encode("text", "UTF-16").alias("utf16"), F.encode("text", "UTF-32").alias("utf32"), ascii_.alias("koi8"), latin9.alias("latin9"))
+    return docs.select("doc_id", *(F.md5(encodings.decoded(out, name)).alias(out) for name, out in (("utf-8", "utf16"), ("utf-32", "utf32"), ("koi8-r", "koi8"), ("iso-8859-15", "latin9"))))
+
+
 def _stream_out(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="seekwell-stream-")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"

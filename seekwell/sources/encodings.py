@@ -67,5 +67,7 @@ def decoded(content, encoding: str = "utf-8") -> Column:
         raise ValueError(f"unknown encoding {encoding!r}")
     head = F.hex(F.substring(c, F.lit(1), F.lit(4)))
     rest = lambda n: F.substring(c, F.lit(n + 1), F.octet_length(c))
-    return (F.when(F.startswith(head, F.lit("EFBBBF")), rest(3).cast("string")).when(head == "FFFE0000", _python("utf-32-le", False)(rest(4))).when(head == "0000FEFF", _python("utf-32-be", False)(rest(4)))
+    # Python runs on every row, so it gets null for rows without the mark
+    marked = lambda mark, codec: _python(codec, False)(F.when(head == mark, rest(4)))
+    return (F.when(F.startswith(head, F.lit("EFBBBF")), rest(3).cast("string")).when(head == "FFFE0000", marked("FFFE0000", "utf-32-le")).when(head == "0000FEFF", marked("0000FEFF", "utf-32-be"))
             .when(F.startswith(head, F.lit("FFFE")), F.decode(rest(2), "UTF-16LE")).when(F.startswith(head, F.lit("FEFF")), F.decode(rest(2), "UTF-16BE")).otherwise(plain))

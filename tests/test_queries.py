@@ -1,5 +1,6 @@
 """Registered queries against DuckDB on the smallest tables, and the driver's contract."""
 
+import hashlib
 import os
 
 import duckdb
@@ -58,3 +59,15 @@ def test_fuzzy_query_has_least_costs(spark):
 def test_counting_needs_no_shuffle(spark):
     plan = QUERIES["grep_count_zero"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan and "text" in plan and "lang" not in plan
+
+
+def test_decoding_leaves_no_document_out(spark, tmp_path):
+    texts = ["plain", "", None, "Éa ßü\nñ", "œuvre €", "¤ ¼", "日本 \U0001F600", "шрифт"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.utf16, r.utf32, r.koi8, r.latin9) for r in QUERIES["decode_all_documents"](spark, str(tmp_path)).collect()}
+    digest = lambda t: None if t is None else hashlib.md5(t.encode()).hexdigest()
+    held = lambda t, page: digest(t) if t is not None and t.encode(page, "ignore").decode(page) == t else None
+    assert got == {i: (digest(t), digest(t), held(t, "ascii"), held(t, "iso8859_15")) for i, t in enumerate(texts)}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert {r[0]: r[1:] for r in con.execute(ORACLE_SQL["decode_all_documents"]).fetchall()} == got
