@@ -11,7 +11,7 @@ As the layer is linear in the average, a text's score is the softmax of the aver
 whole texts without a shuffle.
 
 Training takes at most ``max_rows`` labelled rows, those with the least MD5 of their id: a bound on the
-driver's work, documented here; all else covers all rows.
+driver's work, documented here; all else covers all rows.  The driver holds their features compressed.
 
 Cases: a null or empty text has no features and scores the bias alone; labels that are null, or whose
 document is missing, aren't learned from; of contradicting labels of one document the largest holds;
@@ -20,6 +20,7 @@ without labels every score is 0.5; repeated rows are scored each; an empty table
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -122,8 +123,19 @@ def counted(texts, buckets: int) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def sgd(examples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, *, buckets: int, dim: int = 12, epochs: int = 6, rate: float = 12.0, seed: int = 1) -> Model:
-    """Learn vectors and layer; the two-class softmax is kept as its difference, a logistic layer."""
+def packed(at: np.ndarray, share: np.ndarray) -> bytes:
+    """One text's features and shares in few bytes: gaps of the sorted numbers, then the shares."""
+    return zlib.compress(np.diff(at, prepend=0).astype(np.int32).tobytes() + share.tobytes(), 1)
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = zlib.decompress(data)
+    return np.cumsum(np.frombuffer(raw, np.int32, len(raw) // 8), dtype=np.int32), np.frombuffer(raw, np.float32, offset=len(raw) // 2)
+
+
+def sgd(examples: list[bytes], labels: np.ndarray, *, buckets: int, dim: int = 12, epochs: int = 6, rate: float = 12.0, seed: int = 1) -> Model:
+    """Learn vectors and layer from ``packed`` texts, one unpacked at a time; the two-class softmax is kept as its difference,
+    a logistic layer."""
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / dim, 1 / dim, (buckets, dim)).astype(np.float32)
     layer, bias = rng.normal(0, 0.5, dim).astype(np.float32), 0.0
@@ -132,7 +144,7 @@ def sgd(examples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, *, bu
     steps, n = 0, epochs * len(labels)
     for _ in range(epochs):
         for i in rng.permutation(len(labels)):
-            ids, share = examples[i]
+            ids, share = unpacked(examples[i])
             now = rate * (1 - steps / n)
             steps += 1
             mean = share @ vectors[ids]
@@ -149,29 +161,28 @@ def learnable(key) -> F.Column:
     return F.pmod(F.crc32(key.cast("string")), F.lit(5)) != 0
 
 
-def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", may_learn=learnable, max_rows: int = 2048, buckets: int = 1 << 18, **options) -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", may_learn=learnable, max_rows: int = 4096, buckets: int = 1 << 18, **options) -> Model:
     """A model from at most ``max_rows`` labelled rows that ``may_learn`` admits."""
     ship(docs.sparkSession)
     chosen = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull() & may_learn(F.col(key))).groupBy(F.col(key).alias("k")).agg(F.max(label).cast("int").alias("y"))
     chosen = chosen.orderBy(F.md5(F.col("k").cast("string")), "k").limit(max_rows)
     # at most max_rows rows of two numbers: small enough to send
     rows = docs.select(docs[key].alias("id"), docs[text].alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("k")).select("id", "y", "text")
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("y", T.IntegerType()), T.StructField("f", T.BinaryType()), T.StructField("w", T.BinaryType())])
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("y", T.IntegerType()), T.StructField("f", T.BinaryType())])
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 made = counted(part.column(2), buckets)
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(1), pa.array([f.tobytes() for f, _ in made], pa.binary()), pa.array([w.tobytes() for _, w in made], pa.binary())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(1), pa.array([packed(*x) for x in made], pa.binary())], names=schema.names)
 
     got, seen = [], set()
-    for r in sorted(map_arrow(rows, run, schema).collect(), key=lambda r: (r["id"], r["f"], r["w"])):
+    for r in sorted(map_arrow(rows, run, schema).collect(), key=lambda r: (r["id"], r["f"])):
         if r["id"] not in seen:  # one row of a repeated id keeps the bound
             seen.add(r["id"])
             got.append(r)
-    examples = [(np.frombuffer(r["f"], np.int32), np.frombuffer(r["w"], np.float32)) for r in got]
-    return sgd(examples, np.array([r["y"] for r in got], np.float32), buckets=buckets, **options)
+    return sgd([r["f"] for r in got], np.array([r["y"] for r in got], np.float32), buckets=buckets, **options)
 
 
 def score(df: DataFrame, model: Model, *, text: str = "text", out: str = "score") -> DataFrame:

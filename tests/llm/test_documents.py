@@ -291,6 +291,19 @@ def test_scoring_equals_one_text_at_a_time(monkeypatch):
     assert quality.mean_weights(pa.array([LONG]), weight).shape == (1,)
 
 
+def test_quality_learns_from_4096_rows_packed_small(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(quality, "sgd", lambda examples, labels, **_: seen.update(examples=examples, labels=labels))
+    df = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), "id").alias("text"))
+    quality.train(df, df.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality")))
+    assert len(seen["examples"]) == len(seen["labels"]) == 4096
+    texts = [words(random.Random(11), 3000, 900), "", "ß"]
+    for at, share in quality.counted(pa.array(texts), 1 << 18):
+        data = quality.packed(at, share)
+        assert [x.tolist() for x in quality.unpacked(data)] == [at.tolist(), share.tolist()]
+        assert len(at) < 1000 or 2 * len(data) < at.nbytes + share.nbytes
+
+
 # --- 10: mixing
 
 
