@@ -39,9 +39,15 @@ def candidates_of(url) -> F.Column:
     return F.when(host.isNotNull(), F.concat(suffixes, prefixes))
 
 
+def entry_of(entry) -> F.Column:
+    """An entry with its host in lower case; a path keeps its case, as in URLs."""
+    host = F.substring_index(entry, "/", 1)
+    return F.concat(F.lower(host), F.substring(entry, F.length(host) + 1, F.length(entry)))
+
+
 def intervals(events: DataFrame) -> DataFrame:
     """(list, entry, from, to) in which an entry is active; ``to`` is null while it still is."""
-    e = events.filter(F.col("entry").isNotNull() & F.col("effective").isNotNull()).select("list", F.lower("entry").alias("entry"), "action", "effective").distinct()
+    e = events.filter(F.col("entry").isNotNull() & F.col("effective").isNotNull()).select("list", entry_of(F.col("entry")).alias("entry"), "action", "effective").distinct()
     order = W.partitionBy("list", "entry").orderBy("effective", F.when(F.col("action") == "add", 1).otherwise(0))
     e = e.withColumn("to", F.lead("effective").over(order))
     return e.filter((F.col("action") == "add") & (F.col("to").isNull() | (F.col("to") > F.col("effective")))).select("list", "entry", F.col("effective").alias("from"), "to")

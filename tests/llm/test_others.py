@@ -55,6 +55,18 @@ def test_lists_as_of_fetch_time(spark):
         assert (got[i].entries, got[i].n_active, got[i].blocked, got[i].host) == (",".join(sorted(active)), len(active), bool(active), host), (u, at)
 
 
+def test_lists_keep_the_case_of_paths(spark):
+    urls = ["http://h.net/News", "http://H.net/News/x", "http://h.net/news", "http://h.net/News2", "http://h.net"]
+    entries = ["H.NET/News", "h.net/news", "h.net/News/X", "NET"]
+    caps = spark.createDataFrame([(i, u, 3) for i, u in enumerate(urls)], "page_id long, url string, fetched int")
+    events = spark.createDataFrame([("l", e, "add", 1) for e in entries], "list string, entry string, action string, effective int")
+    got = {r.page_id: r.entries for r in url_lists.active_entries(caps, events).collect()}
+    for i, u in enumerate(urls):
+        host, _, path = u.split("://")[1].partition("/")
+        want = [h.lower() + slash + p for h, slash, p in (e.partition("/") for e in entries) if covers(h.lower() + slash + p, host.lower(), path or None)]
+        assert got[i] == ",".join(sorted(f"l:{e}" for e in want)), u
+
+
 def test_lists_of_nothing(spark):
     caps = spark.createDataFrame([(1, "http://a.b/c", 3)], "page_id long, url string, fetched int")
     events = spark.createDataFrame([], "list string, entry string, action string, effective int")
