@@ -15,37 +15,55 @@ from seekwell.llm.shared import discard, free_name, sent_if_small, table, writte
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score at least 0.3."""
+    """Documents that score at least 0.3 for quality.
+
+    Every row is scored by its own text: repeated rows and null ids are rows of their own, null and empty texts score the
+    model's bias, an empty table stays empty, further columns pass, and without labels all score 0.5 and stay."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     name = free_name(docs, "sw_score")
     return quality.score(docs, model, out=name).filter(F.col(name) >= 0.3).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The least id of each group of near duplicates (five-word shingles, similarity 0.8); of rows equal in id and text, one."""
-    groups = near_dup.near_duplicates(docs)
-    found = written(groups, "groups")
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8): that with the least id.
+
+    Texts without words, null ones among them, are like nothing and stay.  Where ids are null or repeat, rows are numbered
+    by id (null last) and by their other columns that have an order, and the numbers stand for the ids: each row is
+    judged by itself, and the first row of a group stays.  An empty table stays empty; further columns pass."""
+    row, gone_id = free_name(docs, "sw_row"), free_name(docs, "sw_gone")
+    odd = docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null")
+    if odd.isEmpty():
+        keyed = docs.withColumn(row, F.col("doc_id").cast("long"))
+    else:
+        order = [F.col(f"`{f.name}`") for f in docs.schema if f.name not in ("doc_id", "text") and not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+        # written, so that numbers stay when tasks are repeated
+        keyed = written(docs.orderBy(F.col("doc_id").asc_nulls_last(), "text", *order).withColumn(row, F.monotonically_increasing_id()), "rows")
+    groups = near_dup.near_duplicates(keyed, key=row)
+    gone = written(groups.filter(~F.col("kept")).select(F.col("doc_id").alias(gone_id)).distinct(), "gone")
     discard(*groups._seekwell_tables)
-    gone = written(found.filter(~F.col("kept")).select(F.col("doc_id").alias("sw_gone")).distinct(), "gone")
-    kept = docs.join(sent_if_small(gone), docs["doc_id"] == F.col("sw_gone"), "left_anti")
-    if not found.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id", "text"])
-    return kept
+    return keyed.join(sent_if_small(gone), F.col(row) == F.col(gone_id), "left_anti").select(*(f"`{c}`" for c in docs.columns))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't contaminated by the benchmark."""
-    name = free_name(docs, "sw_contaminated")
-    return decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), prefix="sw_").filter(~F.col(name)).select(*docs.columns)
+    """Documents that hold no window of a benchmark item (13 words, or the whole of a shorter item).
+
+    One window is enough, however long the document: a passage in a long text trains a model just as well.  Null and empty
+    texts and rows of an empty benchmark have no hits and stay; repeated rows and null ids are rows of their own."""
+    hits = free_name(docs, "sw_n_hit")
+    return decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), prefix="sw_").filter(F.col(hits) == 0).select(*(f"`{c}`" for c in docs.columns))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture takes them."""
+    """Documents as often as the mixture takes them, the last of each source cut to the budget.
+
+    Texts without words are taken 0 times; a null source is a source of its own; equal rows are taken one after another;
+    an empty table stays empty; further columns pass."""
     return mixing.apply_mix(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packed rows of token ids."""
+    """Packed rows of token ids: each row's text is one document, null and empty ones without tokens; ids may be null or
+    repeat; an empty table gives no rows."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
