@@ -13,8 +13,10 @@ min(most * size, x * weight) with the one x that gives the right total, found fr
 size over weight.
 
 Cases: null text has size 0 and is taken 0 times; null source is a source of its own, the last; all
-sizes 0 give targets 0; repeated rows are rows of their own, ties in the key are cut by size and id, and
-equal rows are alike; an empty table gives an empty result.  Equal input gives equal output.
+sizes 0 give targets 0; repeated rows are rows of their own, ties in the key (a hash of id and text) are cut
+by size and id, and equal rows are alike; an empty table gives an empty result.  Equal input gives equal output.
+
+Sources are corpora, few beside documents: their table (one row each) is ordered in one task.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import free_name, written
+from .shared import free_name, sent_if_small, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 WORD = r"[^\x20\x09-\x0D]+"
@@ -44,43 +46,82 @@ def source_targets(sizes: DataFrame, *, weights=WEIGHTS, share: float = 1.5, mos
     return by.select("source", "n_docs", "source_size", F.least("cap", F.coalesce(F.col("x") * F.col("weight"), "cap")).alias("target"))
 
 
+def _size(text: F.Column) -> F.Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def _random(key: F.Column, text: F.Column, seed: str) -> F.Column:
+    """The hash-random key: of the id and the text, so that null or repeated ids spread over the buckets as well."""
+    return F.md5(F.concat(F.lit(seed), F.coalesce(key.cast("string"), F.lit("")), F.lit("/"), F.md5(F.coalesce(text, F.lit("")))))
+
+
+def _sizes(df: DataFrame, key: str, text: str, source: str, seed: str) -> DataFrame:
+    return written(df.select(df[key].alias("doc_id"), df[source].alias("source"), _size(df[text]).alias("size"), _random(df[key], df[text], seed).alias("rnd")), "sizes")
+
+
 def mix(df: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share: float = 1.5, most: float = 2.0, per_bucket: int = 4096, seed: str = "mix") -> DataFrame:
     """doc_id, size, source_size, target and taken (words the mix takes, repeats counted) of every document."""
-    sizes = written(df.select(
-        df[key].alias("doc_id"), df[source].alias("source"), F.coalesce(F.regexp_count(df[text], F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.md5(F.concat(F.lit(seed), F.coalesce(df[key].cast("string"), F.lit("")))).alias("rnd")), "sizes")
-    return mix_sizes(sizes, weights=weights, share=share, most=most, per_bucket=per_bucket)
+    sizes = _sizes(df, key, text, source, seed)
+    return _placed(sizes, weights=weights, share=share, most=most, per_bucket=per_bucket).select("doc_id", "size", "source_size", F.col("target").cast("double"), _taken().alias("taken"))
 
 
-def mix_sizes(sizes: DataFrame, *, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, per_bucket: int = 4096) -> DataFrame:
-    """As ``mix``, from (doc_id, source, size, rnd), which is read twice."""
+def _placed(sizes: DataFrame, *, weights, share: float, most: float, per_bucket: int) -> DataFrame:
+    """(doc_id, source, size, rnd), which is read twice, with its source's size, target, whole epochs and rest of the budget, the
+    words before each row (``before``), the rows equal in all of the order (``equals``) and those of them that come before it (``ahead``)."""
     # sources are few beside documents, but nothing bounds them: their table is not hinted
     targets = written(source_targets(sizes.select("source", "size"), weights=weights, share=share, most=most), "targets")
     rows = sizes.withColumnRenamed("source", "s").join(targets, F.col("s").eqNullSafe(F.col("source")))
     # sixteen bits of the key deal each source into equal ranges of it
     top = F.conv(F.substring("rnd", 1, 8), 16, 10).cast("long")
     rows = rows.withColumn("bucket", F.floor(top * F.ceil(F.col("n_docs") / per_bucket) / F.lit(float(1 << 32))).cast("long"))
-    inside = W.partitionBy("source", "bucket").orderBy("rnd", "size", "doc_id").rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("upto", F.sum("size").over(inside))
+    order = W.partitionBy("source", "bucket").orderBy("rnd", "size", "doc_id")
+    rows = rows.withColumn("upto", F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0))).withColumn("ahead", F.row_number().over(order) - F.rank().over(order))
+    rows = rows.withColumn("equals", F.count(F.lit(1)).over(order.rangeBetween(W.currentRow, W.currentRow)))
     totals = rows.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
-    offsets = totals.withColumn("before", F.sum("n").over(W.partitionBy("source").orderBy("bucket")) - F.col("n")).select(F.col("source").alias("os"), F.col("bucket").alias("ob"), "before")
+    offsets = totals.withColumn("offset", F.sum("n").over(W.partitionBy("source").orderBy("bucket")) - F.col("n")).select(F.col("source").alias("os"), F.col("bucket").alias("ob"), "offset")
     rows = rows.join(offsets, F.col("source").eqNullSafe(F.col("os")) & (F.col("bucket") == F.col("ob")))
     budget = F.floor("target")
-    epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0))
-    rest = budget - epochs * F.col("source_size")
-    part = F.least("size", F.greatest(F.lit(0), rest - (F.col("before") + F.col("upto") - F.col("size"))))
-    return rows.select("doc_id", "size", "source_size", F.col("target").cast("double"), (epochs * F.col("size") + part).cast("long").alias("taken"))
-
-
-def apply_mix(df: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """``df`` as the mix takes it: a document's rows once for each whole epoch, and once more cut after the words taken of it
-    in part (one document a source at most).  ``key`` should be unique; rows that share one are told apart by size only."""
-    n, size, taken = (free_name(df, c) for c in ("sw_part", "sw_size", "sw_taken"))
-    got = mix(df, key=key, text=text, source=source, **options).groupBy("doc_id", "size").agg(F.max("taken").alias(taken)).withColumnRenamed("size", size).withColumnRenamed("doc_id", "sw_doc_id")
-    rows = df.withColumn(n, F.coalesce(F.regexp_count(df[text], F.lit(WORD)), F.lit(0)).cast("long"))
-    rows = rows.join(got, F.col(key).eqNullSafe(F.col("sw_doc_id")) & (F.col(n) == F.col(size))).filter(F.col(taken) > 0)
-    rows = rows.withColumn(n, F.explode(F.expr(f"sequence(1L, (`{taken}` + `{size}` - 1) div `{size}`)")))
-    words = F.col(taken) - (F.col(n) - 1) * F.col(size)
-    parts = F.split(F.col(text), r"[\x20\x09-\x0D]+", (words + 1 + F.col(text).rlike(r"\A[\x20\x09-\x0D]").cast("long")).cast("int"))
-    cut = F.left(F.col(text), F.length(text) - F.length(F.element_at(parts, -1)))
-    return rows.select(*(F.when(words < F.col(size), cut).otherwise(F.col(c)).alias(c) if c == text else F.col(c) for c in df.columns))
+    epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    return rows.select("doc_id", "source", "size", "rnd", "source_size", "target", "ahead", "equals", epochs.alias("epochs"), (budget - epochs * F.col("source_size")).cast("long").alias("rest"), (F.col("offset") + F.col("upto") - F.col("size")).alias("before"))
+
+
+def _taken() -> F.Column:
+    part = F.least("size", F.greatest(F.lit(0), F.col("rest") - F.col("before")))
+    return (F.col("epochs") * F.col("size") + part).cast("long")
+
+
+def apply_mix(df: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share: float = 1.5, most: float = 2.0, per_bucket: int = 4096, seed: str = "mix") -> DataFrame:
+    """``df`` as the mix takes it: a document's rows once for each whole epoch, and once more, whole or cut after the words taken of
+    it in part (one document a source), where its budget goes beyond whole epochs.
+
+    Only the place of each source's cut is joined with the rows, so texts are not shuffled.  Rows equal in source, id and text
+    are taken one after another; only those that stand at a cut are numbered."""
+    placed = _placed(_sizes(df, key, text, source, seed), weights=weights, share=share, most=most, per_bucket=per_bucket)
+    at_cut = (F.col("before") < F.col("rest")) & (F.col("rest") <= F.col("before") + F.col("size"))
+    cuts = placed.groupBy("source").agg(
+        F.max("epochs").alias("epochs"),
+        F.min(F.when(at_cut, F.struct("rnd", "size", "doc_id", (F.col("rest") - F.col("before") + F.col("ahead") * F.col("size")).alias("words"), "equals"))).alias("cut"))
+    own = free_name(df, "sw_mix")
+    # one row a source, written and then sent or shuffled by its counted rows
+    cuts = written(cuts.select(F.struct("source", "epochs", "cut").alias(own)), "cuts")
+    tied = not cuts.filter(f"`{own}`.cut.equals > 1").isEmpty()
+    of = lambda name: F.col(f"`{own}`.{name}")
+    rnd, size, number, extra = _random(df[key], df[text], seed), *(free_name(df, c) for c in ("sw_copy", "sw_number", "sw_extra"))
+    rows = df.filter(df[text].rlike(WORD)).withColumn(size, F.lit(None).cast("long"))
+    rows = rows.join(sent_if_small(cuts, 1 << 16), rows[source].eqNullSafe(of("source")))
+    # words beyond whole epochs: none (0), all (null), or at the cut (-1) what is left there
+    equal = rnd == of("cut.rnd")
+    lesser = (rnd < of("cut.rnd")) | (equal & F.coalesce(df[key] < of("cut.doc_id"), df[key].isNull()))
+    rows = rows.withColumn(extra, F.when(of("cut").isNull(), F.lit(0)).when(equal & df[key].eqNullSafe(of("cut.doc_id")), F.lit(-1)).when(lesser, F.lit(None)).otherwise(F.lit(0)).cast("long"))
+    rows = rows.withColumn(number, F.lit(0))
+    if tied:
+        cutting = rows.filter(F.col(extra) == -1).withColumn(number, F.row_number().over(W.partitionBy(of("source")).orderBy(F.lit(1))) - 1)
+        rows = rows.filter(F.coalesce(F.col(extra), F.lit(0)) != -1).unionByName(cutting)
+    left = F.greatest(F.lit(0), of("cut.words") - F.col(number) * of("cut.size"))
+    rows = rows.withColumn(extra, F.when(F.col(extra) == -1, F.when(left < of("cut.size"), left)).otherwise(F.col(extra)))
+    times = of("epochs") + F.when(F.col(extra).isNull() | (F.col(extra) > 0), F.lit(1)).otherwise(F.lit(0))
+    rows = rows.filter(times > 0).withColumn(size, F.explode(F.sequence(F.lit(1).cast("long"), times)))
+    words = F.when(F.col(size) > of("epochs"), F.col(extra))
+    parts = F.split(F.col(f"`{text}`"), r"[\x20\x09-\x0D]+", (words + 1 + F.col(f"`{text}`").rlike(r"\A[\x20\x09-\x0D]").cast("long")).cast("int"))
+    cut = F.left(F.col(f"`{text}`"), F.length(f"`{text}`") - F.length(F.element_at(parts, -1)))
+    return rows.select(*(F.when(words.isNotNull(), cut).otherwise(F.col(f"`{c}`")).alias(c) if c == text else F.col(f"`{c}`") for c in df.columns))

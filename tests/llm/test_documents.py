@@ -353,3 +353,19 @@ def test_mixing(spark):
     assert mixing.mix(df.filter("false")).count() == 0
     zero = mixing.mix(df.withColumn("text", F.lit(None).cast("string"))).collect()
     assert all(r.taken == 0 and r.target == 0 for r in zero)
+
+
+def test_mixture_cuts_equal_rows_one_after_another(spark):
+    """Rows equal in source, id and text at the cut, null ids, a null source and the operator's own column names."""
+    schema = "doc_id long, text string, source string, sw_doc_id string, sw_mix string, sw_size string, rnd string, taken long"
+    rows = [(None, "a b c d e", None), *[(5, "v w x y z", "s")] * 40, *[(None, "p q r", "t")] * 30, (7, " k l m ", "t"), (8, None, "t"), (8, "", "s")]
+    df = spark.createDataFrame([(*r, "own", "own", "own", "own", 1) for r in rows], schema).repartition(3)
+    sizes = {}
+    for _, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + len(spaced(t))
+    got = {}
+    for r in mixing.apply_mix(df, per_bucket=4).collect():
+        assert (r.sw_doc_id, r.sw_mix, r.sw_size, r.taken) == ("own", "own", "own", 1) and r.text
+        got[r.source] = got.get(r.source, 0) + len(spaced(r.text))
+    want = brute_targets(sizes)
+    assert got.keys() <= want.keys() and all(abs(got.get(s, 0) - want[s]) < 1.01 for s in want)

@@ -212,9 +212,11 @@ def test_pipeline_stages(spark):
     assert sorted(got) == [i for n, i in enumerate(order) if want[n][2]]
 
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    long = " ".join(f"filler{i}" for i in range(5000))
+    planted = spark.createDataFrame([(70001, f"{long} {items[0][1]} {long}", "en", "s", 0), (70002, long, "en", "s", 0)], docs.schema)
     brute = brute_contamination([texts[i] for i in order], items)
-    got = {r.doc_id for r in step["benchmark decontamination"](spark, extra, SF).collect()}
-    assert got == {i for n, i in enumerate(order) if not brute[n][4]}
+    got = {r.doc_id for r in step["benchmark decontamination"](spark, extra.union(planted), SF).collect()}
+    assert got == {i for n, i in enumerate(order) if not brute[n][1]} | {70002}
 
     mixed = step["mixing sources"](spark, docs, SF)
     assert mixed.columns == docs.columns
@@ -224,3 +226,25 @@ def test_pipeline_stages(spark):
     packed = corpus_pipeline.run(spark, SF)
     assert packed.count() > 0 and packed.agg(F.max("n_tokens")).first()[0] <= 2048
     assert all(f(spark, docs.filter("false"), SF).count() == 0 for _, f in corpus_pipeline.STAGES)
+
+
+@needs_data
+def test_stages_handle_odd_rows(spark):
+    """Null ids, repeated ids with different texts, null, empty and very long texts, ties, and columns with the stages' own names."""
+    names = "sw_row sw_gone sw_n_hit sw_n_words sw_score sw_doc_id sw_part sw_size sw_taken n_hit kept doc rnd size taken class bucket".split()
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    base = " ".join(f"word{i}" for i in range(60))
+    near = base + " tail"
+    texts = [(1, base), (None, base), (None, near), (None, None), (2, ""), (2, base + " " + " ".join(f"other{i}" for i in range(70))), (3, " ".join(f"q{i % 977}x{i}" for i in range(40000))), (3, near), (None, "alone in the rows"), (4, None), (5, " \t ")]
+    df = spark.createDataFrame([(i, t, "en", s, 0, *names) for (i, t), s in zip(texts, ["a", None] * 6)], schema).repartition(3)
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, SF)
+        assert out.columns == df.columns, name
+        seen[name] = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+        assert all(r.kept == "kept" and r.sw_row == "sw_row" for r in out.collect())
+    rest = [t for t in texts if t not in [(1, base), (None, base), (None, near), (3, near)]]
+    assert seen["MinHash near-dedup"] == sorted([(1, base), *rest], key=repr)
+    assert seen["benchmark decontamination"] == sorted(texts, key=repr)
+    assert all(t for _, t in seen["mixing sources"])
+    assert corpus_pipeline.STAGES[-1][1](spark, df, SF).count() > 0
