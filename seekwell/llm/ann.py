@@ -1,21 +1,27 @@
 """Approximate nearest neighbours with a forest of random-projection trees.
 
 *Index.* Each tree is grown on a bounded sample (``sample`` rows, those with the least hash of their id): a
-node splits at the median along the difference of two means of a few of its rows, down to ``leaves`` leaves.
-The forest is a few megabytes at most (``trees * leaves * dimension`` numbers) and is sent to every task.
-Every row is then dealt to one leaf of every tree.
+node splits at the median along the difference of two means of a few of its rows, down to leaves of about
+``leaf_rows`` of all rows, or of two rows of the sample, so that the forest stays some tens of megabytes
+(``trees * sample / 2`` nodes) and can be sent to every task.  Every row is then dealt to one leaf of every tree.
 
 *Search.* A query has one priority queue over all trees; the node with the best margin is opened next, and
-leaves are visited until they hold ``visit`` times all rows, repeats over trees counted (leaf sizes are counted over all rows).  Vectors of a
-visited leaf are scored exactly, a block of queries against a block of candidates at a time, and the best
-are merged over leaves and scored again in double precision on the original vectors.
+leaves are visited until they hold a budget of rows, repeats over trees counted.  The budget is a number of rows
+learned from the data: ``probes`` queries are compared with all rows once, and where in their queues the true
+neighbours' leaves stand tells how many rows must be visited to find a share ``recall`` of them.  On vectors with
+structure that is few rows at any table size; on random ones it's a large share of all, which no index avoids.
+
+*Reranking.* Leaves of a tree that lie side by side make a cell.  A query goes once to every cell that holds
+leaves of its, with the leaves' numbers, and is compared exactly with the rows of those leaves.  The ``k`` best of
+the sample's first ``first_rows`` are a query's first hits, and the least of their scores keeps lesser ones from being emitted.  The best are merged
+over cells, by scores that are sums of double-precision products of the original vectors.
 
 Equal vectors are searched once, as a class of its least ``k + 1`` ids (no more can be among a query's k);
-large leaves are cut into blocks of candidates and of queries, so none must fit one task.
+cells of more than ``block`` rows are cut into parts, so none must fit one task.
 
 Cases: vectors that are null, zero, hold null or non-finite components, or lack the table's most common
 dimension take no part, nor do null ids; ids should be unique (of repeated ids the rows are candidates of
-their own); ties go to the smaller id; fewer than k candidates give all; an empty table gives no rows.
+their own); ties, however many, go to the smaller id; fewer than k candidates give all; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -75,20 +81,37 @@ class Forest:
             out[:, k] = at - self.inner
         return out
 
-    def visits(self, q: np.ndarray, sizes: np.ndarray, enough: float) -> list[int]:
-        """Numbers ``tree * leaves + leaf`` in the order of one queue shared by all trees, until leaves hold ``enough`` rows."""
-        margin = np.einsum("kij,j->ki", self.w, q) - self.t if self.inner else None
-        heap = [(-np.inf, k, 0) for k in range(len(self.w))]
-        leaves, out, have = self.inner + 1, [], 0
-        while heap and (have < enough or len(out) < len(self.w)):
+    def queue(self, q: np.ndarray):
+        """Numbers ``tree * leaves + leaf`` in the order of one priority queue shared by all trees."""
+        w, t, inner = self.w, self.t, self.inner
+        heap = [(-np.inf, k, 0) for k in range(len(w))]
+        while heap:
             far, k, i = heapq.heappop(heap)
-            while i < self.inner:
-                m = float(margin[k, i])
+            while i < inner:
+                m = float(w[k, i] @ q - t[k, i])
                 near, other = (2 * i + 2, 2 * i + 1) if m > 0 else (2 * i + 1, 2 * i + 2)
                 heapq.heappush(heap, (max(far, abs(m)), k, other))
                 i = near
-            out.append(k * leaves + i - self.inner)
-            have += sizes[out[-1]]
+            yield k * (inner + 1) + i - inner
+
+    def depths(self, q: np.ndarray) -> np.ndarray:
+        """The margin at which ``queue`` reaches each leaf, by numbers ``tree * leaves + leaf``, all at once."""
+        m = np.einsum("kij,j->ki", self.w, q) - self.t
+        far = np.full((len(self.w), 1), -np.inf, np.float32)
+        for level in range(self.depth):
+            at = m[:, (1 << level) - 1 : (2 << level) - 1]
+            beyond = np.maximum(far, np.abs(at))
+            far = np.stack([np.where(at > 0, beyond, far), np.where(at > 0, far, beyond)], axis=2).reshape(len(far), -1)
+        return far.ravel()
+
+    def visits(self, q: np.ndarray, sizes: np.ndarray, enough: float) -> list[int]:
+        """Leaves in the queue's order until they hold ``enough`` rows, a leaf of each tree at least."""
+        out, have = [], 0
+        for leaf in self.queue(q):
+            out.append(leaf)
+            have += sizes[leaf]
+            if have >= enough and len(out) >= len(self.w):
+                break
         return out
 
 
@@ -102,7 +125,32 @@ def _matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.zeros((0, 1))
 
 
-def nearest(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding", query_filter: str = "id % 20 = 0", k: int = 20, trees: int = 8, leaves: int = 64, sample: int = 16384, visit: float = 2.0, block: int = 8192) -> DataFrame:
+def _best(exact: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` best of each query by (score descending, id), of flat lists."""
+    order = np.lexsort((ids, -exact, q))
+    first = np.flatnonzero(np.concatenate(([True], q[order][1:] != q[order][:-1])))
+    place = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+    return order[place < k]
+
+
+def top(queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query number, id, score) of the ``k`` best rows of each query whose scores reach its ``bound``, ties to the smaller id.
+
+    A matrix product, exact but for rounding, chooses; scores are summed anew in one fixed order, and ties are kept whole until then."""
+    s = queries @ rows.T
+    slack = 1e-9 * (1 + np.abs(s).max(initial=0))
+    floor = bound - slack
+    if s.shape[1] > k:
+        many = np.flatnonzero((s >= floor[:, None]).sum(1) > k)
+        if len(many):
+            floor[many] = np.maximum(floor[many], np.partition(s[many], s.shape[1] - k, axis=1)[:, s.shape[1] - k] - slack)
+    q, c = np.nonzero(s >= floor[:, None])
+    exact = np.concatenate([(queries[q[i : i + 65536]] * rows[c[i : i + 65536]]).sum(1) for i in range(0, len(q), 65536)]) if len(q) else np.zeros(0)
+    best = _best(exact, ids[c], q, k)
+    return q[best], ids[c[best]], exact[best]
+
+
+def nearest(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding", query_filter: str = "id % 20 = 0", k: int = 20, trees: int = 16, leaf_rows: int = 64, sample: int = 16384, recall: float = 0.95, probes: int = 96, first_rows: int = 1024, block: int = 8192) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found by largest inner product of each row that ``query_filter`` (on ``id``) admits."""
     spark = df.sparkSession
     ship(spark)
@@ -123,74 +171,110 @@ def nearest(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding", qu
     queries = written(rows.filter(F.expr(query_filter)).join(reps, "v").select("id", "class"), "queries")
 
     total = reps.count()
-    chosen = reps.orderBy(F.xxhash64("class"), "class").limit(sample)
-    x = np.array([r["v"] for r in chosen.select("v").collect()], np.float64)
-    forest = Forest(x, trees, leaves)
+    chosen = reps.orderBy(F.xxhash64("class"), "class").limit(sample).collect()
+    x = np.array([r["v"] for r in chosen], np.float64)
+    forest = Forest(x, trees, max(1, -(-total // leaf_rows)))
     n_leaves = forest.inner + 1
-    sent = spark.sparkContext.broadcast(forest)
+    sent = spark.sparkContext.broadcast((forest, x[:first_rows], np.array([r["class"] for r in chosen[:first_rows]], np.int64)))
+    vt = f"array<{kind}>"
 
     def deal(batches):
-        f = sent.value
+        f = sent.value[0]
         for batch in batches:
             v = _matrix(batch.column(1)).astype(np.float32)
             at = f.leaf(v) + np.arange(trees, dtype=np.int32) * n_leaves
             n = len(v)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * trees), pa.array(at.ravel(), pa.int32()))], names=["class", "v", "leaf"])
 
-    vt = f"array<{kind}>"
     dealt = written(map_arrow(reps, deal, f"class long, v {vt}, leaf array<int>"), "leaves")
     counts = np.zeros(trees * n_leaves, np.int64)
     for r in dealt.select(F.explode("leaf").alias("leaf")).groupBy("leaf").count().collect():  # one row a leaf of the bounded forest
         counts[r["leaf"]] = r["count"]
-    sizes = spark.sparkContext.broadcast(counts)
+    enough = _budget(dealt, queries, forest, counts, k, recall, probes)
+    known = spark.sparkContext.broadcast((counts, enough))
+
+    # cells: runs of leaves of one tree of at most about ``block`` rows
+    side = 1
+    while side < n_leaves and counts.sum() / len(counts) * side * 2 <= block:
+        side *= 2
 
     def seek(batches):
-        f, n = sent.value, sizes.value
+        (f, x, names), (n, enough) = sent.value, known.value
         for batch in batches:
-            v = _matrix(batch.column(1)).astype(np.float32)
-            seen = [f.visits(q, n, visit * total) for q in v]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(seen, pa.list_(pa.int32()))], names=["class", "v", "leaf"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                v = _matrix(part.column(1)).astype(np.float64)
+                # the best of the sample, one more than k, as the query may stand in it: each query's first hits and its bound
+                most = min(k + 1, len(x))
+                _, best, score = (z.reshape(len(v), most) for z in top(v, x, names, most, np.full(len(v), -np.inf)))
+                low = score[:, -1] if most > k else np.full(len(v), -np.inf)
+                own, cells, leaves, first = [], [], [], []
+                for i, q in enumerate(v.astype(np.float32)):
+                    seen = np.sort(np.array(f.visits(q, n, enough), np.int32))
+                    cut = np.flatnonzero(np.diff(seen // side)) + 1
+                    for j, run in enumerate(np.split(seen, cut)):
+                        first.append([{"c": c, "score": z} for c, z in zip(best[i].tolist(), score[i].tolist())] if j == 0 else [])
+                        own.append(i)
+                        cells.append(run[0] // side)
+                        leaves.append(run)
+                take = pa.array(own, pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(cells, pa.int32()), pa.array(leaves, pa.list_(pa.int32())), pa.array(low[own]), pa.array(first, pa.list_(pa.struct([("c", pa.int64()), ("score", pa.float64())])))], names=["class", "v", "cell", "leaves", "low", "first"])
 
-    asked = map_arrow(queries.select("class").distinct().join(reps, "class"), seek, f"class long, v {vt}, leaf array<int>")
-    asked = written(asked, "visits").select(F.lit(1).alias("kind"), "class", "v", F.explode("leaf").alias("leaf"))
-    parts = F.element_at(F.array(*(F.lit(int(c)) for c in -(-np.maximum(counts, 1) // block))), F.col("leaf") + 1) if counts.max(initial=0) > block else F.lit(1)
+    asked = map_arrow(queries.select("class").distinct().join(reps, "class"), seek, f"class long, v {vt}, cell int, leaves array<int>, low double, first array<struct<c: long, score: double>>")
+    asked = written(asked, "visits")
+    sampled = asked.select(F.col("class").alias("q"), F.inline("first"))
+    asked = asked.select(F.lit(1).alias("kind"), "class", "v", "cell", "leaves", "low")
+    per_cell = counts.reshape(-1, side).sum(1)
+    parts = F.element_at(F.array(*(F.lit(int(c)) for c in -(-np.maximum(per_cell, 1) // block))), F.col("cell") + 1) if per_cell.max(initial=0) > block else F.lit(1)
     own = dealt.select(F.lit(0).alias("kind"), "class", "v", F.explode("leaf").alias("leaf"))
+    own = own.select("kind", "class", "v", F.floor(F.col("leaf") / side).cast("int").alias("cell"), F.array("leaf").alias("leaves"), F.lit(None).cast("double").alias("low"))
     own = own.withColumn("part", group_of_row("class", parts.cast("long")).cast("int"))
     asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), parts.cast("int") - 1)))
-    # a leaf's candidates come first, its queries stream after them in batches: any number of queries is fine
-    both = own.unionByName(asked).repartition("leaf", "part").sortWithinPartitions("leaf", "part", "kind")
+    # a cell's rows come first, its queries stream after them in batches: any number of queries is fine
+    both = own.unionByName(asked).repartition("cell", "part").sortWithinPartitions("cell", "part", "kind")
 
     def rank(batches):
-        at, ids, vs = None, [], []
+        at, held, ids, vs, starts, leaves = None, [], None, None, None, None
         for batch in batches:
-            kinds, classes, leaf, part = (batch.column(i).to_numpy() for i in (0, 1, 3, 4))
+            kinds, classes, cell, low, part = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3, 5, 6))
             m = _matrix(batch.column(2)).astype(np.float64)
-            where = leaf.astype(np.int64) * (1 << 31) + part
+            lists = batch.column(4)
+            ends = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))) if len(lists) else np.zeros(1, np.int64)
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            where = cell.astype(np.int64) * (1 << 31) + part
             edge = np.flatnonzero(np.concatenate(([True], (where[1:] != where[:-1]) | (kinds[1:] != kinds[:-1])))) if len(where) else []
             for a, b in zip(edge, [*edge[1:], len(where)]):
                 if where[a] != at:
-                    at, ids, vs = where[a], [], []
+                    at, held, ids = where[a], [], None
                 if kinds[a] == 0:
-                    ids.append(classes[a:b])
-                    vs.append(m[a:b])
+                    held.append((flat[ends[a] : ends[b]], classes[a:b], m[a:b]))
                     continue
-                if not ids:
+                if not held:
                     continue
-                if len(ids) > 1:
-                    ids, vs = [np.concatenate(ids)], [np.concatenate(vs)]
-                for s in range(a, b, 512):
-                    e = min(b, s + 512)
-                    near = m[s:e] @ vs[0].T
-                    n = min(k + 9, len(ids[0]))
-                    top = np.argpartition(-near, n - 1, axis=1)[:, :n]
-                    q = np.repeat(np.arange(s, e), n)
-                    c = top.ravel()
-                    exact = (m[q] * vs[0][c]).sum(1)
-                    order = np.lexsort((ids[0][c], -exact, q))
-                    keep = order[np.arange(len(order)) % n < k + 1]
-                    yield pa.RecordBatch.from_arrays([pa.array(classes[q[keep]]), pa.array(ids[0][c[keep]]), pa.array(exact[keep])], names=HITS.names)
-
-    hits = map_arrow(both, rank, HITS).groupBy("q", "c").agg(F.first("score").alias("score"))
+                if ids is None:  # rows sorted by leaf
+                    leaf = np.concatenate([h[0] for h in held])
+                    order = np.argsort(leaf, kind="stable")
+                    ids, vs = np.concatenate([h[1] for h in held])[order], np.concatenate([h[2] for h in held])[order]
+                    leaves, starts = np.unique(leaf[order], return_index=True)
+                    starts, held = np.append(starts, len(order)), [()]
+                for s in range(a, b, 1024):
+                    e = min(b, s + 1024)
+                    which, who = flat[ends[s] : ends[e]], np.repeat(np.arange(s, e), np.diff(ends[s : e + 1]))
+                    order = np.argsort(which, kind="stable")
+                    which, who = which[order], who[order]
+                    out = []
+                    for x, y, f, t in zip(np.searchsorted(which, leaves).tolist(), np.searchsorted(which, leaves, "right").tolist(), starts[:-1].tolist(), starts[1:].tolist()):
+                        if x < y:
+                            q, c, score = top(m[who[x:y]], vs[f:t], ids[f:t], k + 1, low[who[x:y]])
+                            out.append((who[x:y][q], c, score))
+                    if not out:
+                        continue
+                    q, c, score = (np.concatenate(z) for z in zip(*out))
+                    best = _best(score, c, q, k + 1)
+                    yield pa.RecordBatch.from_arrays([pa.array(classes[q[best]]), pa.array(c[best]), pa.array(score[best])], names=HITS.names)
+
+    # a pair that meets in several trees has one score
+    hits = map_arrow(both, rank, HITS).union(sampled).groupBy("q", "c").agg(F.max("score").alias("score"))
     best = hits.withColumn("n", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "c"))).filter(F.col("n") <= k + 1).select("q", "c", "score")
     ids = members.select(F.col("class").alias("c"), F.col("id").alias("vec_id"))
     order = W.partitionBy("q").orderBy(F.desc("score"), "vec_id")
@@ -199,3 +283,39 @@ def nearest(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding", qu
     out = queries.withColumnRenamed("id", "query_id").join(found, F.col("class") == F.col("q")).filter("vec_id <> query_id")
     final = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return out.withColumn("rank", final).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _budget(dealt: DataFrame, queries: DataFrame, forest: Forest, counts: np.ndarray, k: int, recall: float, probes: int) -> int:
+    """Rows to visit: the least number that finds a share ``recall`` of the true neighbours of ``probes`` queries.
+
+    The probes (those with the least hash of their class) are compared with every row, in blocks; each batch hands on its ``k`` best."""
+    spark = dealt.sparkSession
+    asked = queries.select("class").distinct().orderBy(F.xxhash64("class"), "class").limit(probes)
+    asked = dealt.join(F.broadcast(asked), "class").select("class", "v").collect()  # at most ``probes`` rows
+    if not asked:
+        return 0
+    names, v = np.array([r["class"] for r in asked]), np.array([r["v"] for r in asked], np.float64)
+    sent = spark.sparkContext.broadcast((names, v))
+
+    def run(batches):
+        names, v = sent.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                ids = part.column(0).to_numpy()
+                q, c, score = top(v, _matrix(part.column(1)).astype(np.float64), np.arange(len(ids)), k + 1, np.full(len(v), -np.inf))
+                other = ids[c] != names[q]
+                yield pa.RecordBatch.from_arrays([pa.array(names[q[other]]), pa.array(ids[c[other]]), pa.array(score[other]), part.column(2).take(pa.array(c[other]))], names=["q", "c", "score", "leaf"])
+
+    hits = map_arrow(dealt, run, "q long, c long, score double, leaf array<int>")
+    best = hits.withColumn("n", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "c"))).filter(F.col("n") <= k)
+    leaves: dict[int, list] = {}
+    for r in best.select("q", "leaf").collect():  # probes * k rows
+        leaves.setdefault(r["q"], []).append(r["leaf"])
+    need = []
+    for name, q in zip(names.tolist(), v.astype(np.float32)):
+        order = np.argsort(forest.depths(q), kind="stable")
+        until = np.zeros(len(counts), np.int64)
+        until[order] = np.cumsum(counts[order])
+        need += [int(until[np.array(ls)].min()) for ls in leaves.get(name, [])]
+    return int(np.quantile(need, recall, method="higher")) if need else 0

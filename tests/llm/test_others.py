@@ -102,6 +102,28 @@ def test_nearest_neighbours(spark):
     assert set(got) == {int(i) for i in ids[ids % 20 == 0]} and found >= 0.9 * total
 
 
+def test_nearest_keeps_ties_whole(spark):
+    """Six thousand rows that all score 0: the least ids win."""
+    rng = np.random.default_rng(3)
+    x = np.zeros((6000, 8), np.float32)
+    x[0, 0] = 1
+    x[1:, 1:] = rng.normal(size=(5999, 7))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = sorted((r["rank"], r.vec_id, r.score) for r in ann.nearest(df, query_filter="id = 0", recall=1.0).collect())
+    assert got == [(i, i, 0.0) for i in range(1, 21)]
+    q, c, score = ann.top(np.ones((2, 3)), np.ones((9, 3)), np.arange(90, 0, -10), 4, np.full(2, -np.inf))
+    assert (q.tolist(), c.tolist(), score.tolist()) == ([0] * 4 + [1] * 4, [10, 20, 30, 40] * 2, [3.0] * 8)
+
+
+def test_queue_opens_leaves_by_margin():
+    rng = np.random.default_rng(4)
+    f = ann.Forest(rng.normal(size=(500, 8)), 3, 64)
+    for q in rng.normal(size=(20, 8)).astype(np.float32):
+        order = list(f.queue(q))
+        depth = f.depths(q)[order]
+        assert sorted(order) == list(range(3 * (f.inner + 1))) and (np.diff(depth[3:]) >= -1e-5).all() and np.isinf(depth[:3]).all()
+
+
 def test_nearest_of_few_and_none(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.nearest(few).collect()) == [(0, 1, 1, 1.0), (0, 2, 2, 0.0)]
