@@ -8,12 +8,13 @@
    member (the pivot) alone.  A candidate's similarity is first estimated from the packed signatures (equal
    groups of bits, counted by population count, corrected for the 2**-bits chance of equal bits); pairs whose
    estimate is hopelessly low are let go, all others are confirmed on full sets.
-4. Links give components.  Bands whose members lie in several components are taken up again without their
-   pivots, which have been compared with all of the band (``rounds`` times).  Documents of bands still open
-   form clusters; in a cluster every two documents of different components are compared, by signature and
-   unless hopeless on full sets, in pairs of blocks of bounded bytes.  A large component has blocks of its
-   own, which are not compared with one another.  So every pair of a band is compared, or is known to be in
-   one component, and no group is expanded into all its pairs.
+4. Links give components.  Bands whose members lie in several components are open: within each, every two members
+   of different components are compared by signature alone, in blocks of bounded rows, and those that aren't
+   hopeless are chained (a chain is at most as long as the band).  What hangs together by such chains is a cluster;
+   in it every two documents of different components are compared, by signature and unless hopeless on full sets,
+   in pairs of blocks of bounded rows and bytes.  A large component has blocks of its own, which are not compared
+   with one another.  So every pair of a band is compared, hopeless by signature or known to be in one component,
+   and no group is expanded into all its pairs.
 
 With 40 bands of 5 rows a pair at similarity 0.8 is missed with probability 1.3e-7, and the estimate's
 threshold (0.65) lies 5 standard deviations below it.
@@ -214,15 +215,96 @@ def _cross(sets: list[np.ndarray], sigs: np.ndarray, comp: np.ndarray, left: np.
     return out
 
 
-def _settle(open_bands: DataFrame, sets: DataFrame, percent: int, block_bytes: int) -> DataFrame:
-    """Links (a, b) that join components within clusters of documents connected by open bands.
+def chained(key: np.ndarray, block: np.ndarray, comp: np.ndarray, size: np.ndarray, sig: np.ndarray, percent: int) -> np.ndarray:
+    """For rows sorted by ``key`` the least row each hangs together with, by pairs of equal key, different blocks (unless -1) and
+    different components whose estimated similarity isn't hopeless."""
+    lab, x, y = np.arange(len(key)), [], []
+    for s in range(1, len(key)):
+        i = np.flatnonzero(key[s:] == key[:-s])
+        if not len(i):
+            break
+        j = i + s
+        good = (comp[i] != comp[j]) & ((block[i] != block[j]) | (block[i] < 0)) & (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j]))
+        i, j = i[good], j[good]
+        for at in range(0, len(i), 1 << 16):
+            near = estimate(sig[i[at : at + (1 << 16)]], sig[j[at : at + (1 << 16)]]) >= LOW
+            x.append(i[at : at + (1 << 16)][near])
+            y.append(j[at : at + (1 << 16)][near])
+        if sum(map(len, x)) > 1 << 20 or s == len(key) - 1:
+            lab, x, y = _least(lab, x, y), [], []
+    return _least(lab, x, y)
+
+
+def _least(lab: np.ndarray, x: list, y: list) -> np.ndarray:
+    if not x:
+        return lab
+    i, j = np.concatenate(x), np.concatenate(y)
+    while True:
+        low = np.minimum(lab[i], lab[j])
+        now = lab.copy()
+        for at in (lab[i], lab[j], i, j):
+            np.minimum.at(now, at, low)
+        now = now[now]
+        if np.array_equal(now, lab):
+            return lab
+        lab = now
+
+
+def _screened(open_bands: DataFrame, sets: DataFrame, percent: int, block_rows: int) -> DataFrame:
+    """Chains (a, b) of documents of different components that share an open band and aren't hopeless by signature.
+
+    A band of more than ``block_rows`` members is dealt into blocks; each pair of blocks is a group of its own, but for those of
+    the pivot's component, whose blocks are compared with the other components' only."""
+    own = F.col("comp") == F.col("pcomp")
+    n = open_bands.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(own, 1)).alias("same"))
+    blocks = lambda of: F.ceil(2 * of / block_rows).cast("int")
+    large = written(n.filter(F.col("n") > block_rows).select("band", blocks(F.col("n") - F.col("same")).alias("mixed"), blocks(F.col("same")).alias("pure")), "large")
+    rows = open_bands.join(sent_if_small(large), "band", "left")
+    mine = F.when(own, F.col("mixed") + group_of_row("doc", F.col("pure")).cast("int")).otherwise(group_of_row("doc", F.col("mixed")).cast("int"))
+    rows = rows.withColumn("block", F.coalesce(mine, F.lit(-1)))
+    others = F.when(F.col("block") < 0, F.array(F.lit(-1))).when(own, F.sequence(F.lit(0), F.col("mixed") - 1)).otherwise(F.sequence(F.lit(0), F.col("mixed") + F.col("pure") - 1))
+    rows = rows.withColumn("other", F.explode(others)).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+    sigs = sets.select("doc", "sig", F.floor(F.octet_length("members") / 8).alias("size"))
+    rows = rows.select("band", "lo", "hi", "block", "doc", "comp").join(sigs, "doc").select("band", "lo", "hi", F.when(F.col("lo") == F.col("hi"), F.lit(-1)).otherwise(F.col("block")).alias("block"), "doc", "comp", "size", "sig")
+    rows = rows.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
 
-    A cluster's documents are dealt into blocks of about ``block_bytes`` of sets; a large component has blocks of its
-    own, small ones share.  Each pair of blocks is one group, unless both are of one component."""
-    clusters = components(open_bands.select(F.col("doc").alias("a"), F.col("pivot").alias("b")))
-    clusters = clusters.select(F.col("node").alias("doc"), F.col("comp").alias("cluster"))
-    rows = open_bands.select("doc", F.col("comp").alias("own")).distinct().join(clusters, "doc")
-    rows = rows.join(sets, "doc").withColumn("bytes", F.octet_length("members") + 256)
+    def run(batches):
+        def found(t: pa.Table) -> pa.RecordBatch:
+            band, lo, hi, block, doc, comp, size = (t.column(i).to_numpy() for i in range(7))
+            sig = np.frombuffer(b"".join(t.column(7).to_pylist()), np.uint64).reshape(len(doc), -1)
+            key = np.cumsum(np.concatenate(([0], (band[1:] != band[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]))))
+            least = chained(key, block, comp, size, sig, percent)
+            moved = np.flatnonzero(least != np.arange(len(least)))
+            return pa.RecordBatch.from_arrays([pa.array(doc[moved]), pa.array(doc[least[moved]])], names=LINKS.names)
+
+        held = None
+        for batch in batches:  # the last group of a batch waits for its rest
+            t = pa.Table.from_batches([batch])
+            t = pa.concat_tables([held, t]) if held is not None else t
+            if not t.num_rows:
+                continue
+            keys = [t.column(i).to_numpy() for i in range(3)]
+            last = np.flatnonzero(np.logical_or.reduce([k != k[-1] for k in keys]))
+            cut = int(last[-1]) + 1 if len(last) else 0
+            held = t.slice(cut)
+            if cut:
+                yield found(t.slice(0, cut))
+        if held is not None and held.num_rows:
+            yield found(held)
+
+    out = written(map_arrow(rows, run, LINKS).distinct(), "chains")
+    discard(large)
+    return out
+
+
+def _settle(chains: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, block_bytes: int, block_rows: int) -> DataFrame:
+    """Links (a, b) that join components within clusters of documents connected by ``chains``.
+
+    A cluster's documents are dealt into blocks of about ``block_bytes`` of sets and half of ``block_rows`` documents; a large
+    component has blocks of its own, small ones share.  Each pair of blocks is one group, unless both are of one component."""
+    clusters = components(chains)
+    rows = clusters.select(F.col("node").alias("doc"), F.col("comp").alias("cluster")).join(labels, F.col("doc") == F.col("node"), "left").select("doc", "cluster", F.coalesce("comp", "doc").alias("own"))
+    rows = rows.join(sets, "doc").withColumn("bytes", F.greatest(F.octet_length("members"), F.lit(2 * block_bytes // block_rows)))
     rows = written(rows, "settle")
     by = rows.groupBy("cluster", "own").agg(F.sum("bytes").alias("n"))
     by = by.withColumn("pure", F.col("n") * 2 > block_bytes)
@@ -247,7 +329,7 @@ def _settle(open_bands: DataFrame, sets: DataFrame, percent: int, block_bytes: i
         return pa.table({"a": pa.array([docs[i] for i, _ in found], pa.int64()), "b": pa.array([docs[j] for _, j in found], pa.int64())})
 
     out = written(groups.groupBy("cluster", "lo", "hi").applyInArrow(run, LINKS), "settled")
-    discard(rows)
+    discard(rows, clusters)
     return out
 
 
@@ -263,7 +345,7 @@ def _still_open(members: DataFrame, labels: DataFrame) -> DataFrame:
     return out
 
 
-def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, rounds: int = 0, block_bytes: int = 8 << 20) -> DataFrame:
+def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, block_bytes: int = 8 << 20, block_rows: int = 1024) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row; ``kept`` marks the least id of each component."""
     ship(df.sparkSession)
     signed = written(sign(df, key=key, text=text, shingle=shingle), "signed")
@@ -285,21 +367,13 @@ def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", s
         links = written(confirm(tested, sets, percent), "confirmed")
         labels = forest(links.select(F.col("a").alias("node"), F.col("b").alias("parent")))
         done += [involved, sets, tested, links]
-        members = members.select("band", "doc")
-        for turn in range(rounds + 1):
-            now = _still_open(members, labels)
-            done.append(now)
-            if now.isEmpty():
-                break
-            if turn < rounds:
-                pairs = written(now.filter("comp <> pcomp").select("doc", "pivot").distinct().join(tested, ["doc", "pivot"], "left_anti"), "pairs")
-                new = written(confirm(pairs, sets, percent), "confirmed")
-                tested = tested.union(pairs)
-                done += [pairs, new]
-                members = now.filter("doc <> pivot").select("band", "doc")
-            else:
-                new = _settle(now, sets, percent, block_bytes)
-                done.append(new)
+        now = _still_open(members.select("band", "doc"), labels)
+        done.append(now)
+        if not now.isEmpty():
+            chains = _screened(now, sets, percent, block_rows)
+            done.append(chains)
+            new = _settle(chains, labels, sets, percent, block_bytes, block_rows)
+            done.append(new)
             if not new.isEmpty():
                 done.append(labels)
                 labels = joined(labels, new)

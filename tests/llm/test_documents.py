@@ -207,7 +207,7 @@ def families(rng, shingle):
 @pytest.mark.parametrize("shingle", [2, 5])
 def test_near_duplicates_equal_brute_force(spark, shingle):
     texts = families(random.Random(shingle), shingle)
-    rows = near_dup.near_duplicates(docs(spark, texts), shingle=shingle, block_bytes=20000).collect()
+    rows = near_dup.near_duplicates(docs(spark, texts), shingle=shingle, block_bytes=20000, block_rows=6).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in rows} == brute_components(texts, shingle)
 
 
@@ -227,6 +227,24 @@ def test_near_duplicates_chain_and_edges(spark):
     assert near_dup.near_duplicates(df.filter("false")).count() == 0
 
 
+def test_chains_connect_what_pairs_connect():
+    rng = np.random.default_rng(12)
+    base = rng.integers(0, 1 << 62, (6, 400), dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.integers(6)][: rng.integers(200, 400)], rng.integers(0, 1 << 62, rng.integers(0, 80), dtype=np.uint64)])) for _ in range(120)]
+    sig = np.stack([near_dup.packed(near_dup.minima(x)) for x in sets])
+    size, comp, block = np.array([len(x) for x in sets]), rng.integers(0, 60, 120), rng.integers(-1, 1, 120)
+    key = np.sort(rng.integers(0, 9, 120))
+    got = near_dup.chained(key, block, comp, size, sig, 80)
+    want = list(range(120))
+    for i in range(120):
+        for j in range(i):
+            alike = near_dup.estimate(sig[i : i + 1], sig[j : j + 1])[0] >= near_dup.LOW and 5 * min(size[i], size[j]) >= 4 * max(size[i], size[j])
+            if key[i] == key[j] and comp[i] != comp[j] and (block[i] != block[j] or block[i] < 0) and alike and want[i] != want[j]:
+                a, b = sorted((want[i], want[j]))
+                want = [a if w == b else w for w in want]
+    assert got.tolist() == want and len(set(want)) < 120
+
+
 def test_signature_estimates_similarity():
     rng = np.random.default_rng(1)
     for j in (0.5, 0.8, 0.95):
