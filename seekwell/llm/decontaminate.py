@@ -9,8 +9,8 @@ are compared: runs of at least ``window`` equal words are hit.  Items of fewer w
 winnowing can't promise to keep; documents are looked up for them by grams of each such length.
 
 The benchmark is sent to every task only up to ``max_broadcast_bytes`` of text, which is checked; a larger
-one is cut into blocks of at most that size by running byte counts, documents are passed once per block, and
-word hits and items are united per document.
+one is dealt into blocks of about that size at most, documents are passed once per block, one block after
+another is sent and destroyed, and word hits and items are united per document.
 
 Cases: null texts have no words; items without words occur nowhere; null item ids take part but carry no
 id; repeated item rows count once; repeated documents are rows of their own; empty tables give an empty
@@ -142,20 +142,16 @@ def sha_of(ids) -> str:
     return hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
 
 
-def _blocks(items: DataFrame, limit: int):
-    """The benchmark as lists of (ids, texts) of at most about ``limit`` bytes each."""
-    total = items.agg(F.sum(F.octet_length("text")).alias("n"), F.count(F.lit(1)).alias("c"), F.max(F.octet_length("text")).alias("m")).first()
-    if (total["n"] or 0) + 16 * total["c"] <= limit:
-        yield items.collect()
-        return
-    n = int(2 * ((total["n"] or 0) + 16 * total["c"]) // limit) + 2
-    dealt = items.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n)))
-    for b in range(n):
-        yield dealt.filter(F.col("block") == b).drop("block").collect()
+def _blocks(items: DataFrame, limit: int) -> tuple[int, DataFrame]:
+    """Number of blocks of at most about ``limit`` bytes each, and the benchmark with a column ``block``."""
+    total = items.agg(F.sum(F.octet_length("text")).alias("n"), F.count(F.lit(1)).alias("c")).first()
+    size = (total["n"] or 0) + 16 * total["c"]
+    n = 1 if size <= limit else int(2 * size // limit) + 2
+    return n, items.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n)))
 
 
-def contamination(df: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 13, k: int = 5, share: int = 20, max_broadcast_bytes: int = 64 << 20, prefix: str = "") -> DataFrame:
-    """``df`` with n_words, n_hit, n_items, items_sha256 and contaminated (hit words are at least one in ``share``) added.
+def contamination(df: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 13, k: int = 5, share: int = 20, max_broadcast_bytes: int = 64 << 20, prefix: str = "", keep: list[str] | None = None) -> DataFrame:
+    """``df``, or its columns ``keep``, with n_words, n_hit, n_items, items_sha256 and contaminated (hit words are at least one in ``share``) added.
 
     One Arrow pass without a shuffle while the benchmark is within ``max_broadcast_bytes``."""
     spark = df.sparkSession
@@ -164,7 +160,9 @@ def contamination(df: DataFrame, benchmark: DataFrame, *, text: str = "text", it
     n_words, n_hit, n_items, sha, bad = (free_name(df, prefix + c) for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated"))
     bits, names = free_name(df, "sw_bits"), free_name(df, "sw_items")
     passed = schema_with(df, T.StructField(bits, T.BinaryType()), T.StructField(names, T.ArrayType(T.StringType())))
-    final = schema_with(df, T.StructField(n_words, T.LongType()), T.StructField(n_hit, T.LongType()), T.StructField(n_items, T.LongType()), T.StructField(sha, T.StringType()), T.StructField(bad, T.BooleanType()))
+    kept = df.columns if keep is None else keep
+    places = [df.columns.index(c) for c in kept]
+    final = schema_with(df.select(*(df[i] for i in places)), T.StructField(n_words, T.LongType()), T.StructField(n_hit, T.LongType()), T.StructField(n_items, T.LongType()), T.StructField(sha, T.StringType()), T.StructField(bad, T.BooleanType()))
     column, width = df.columns.index(text), len(df.columns)
 
     def over(broadcast, first: bool, last: bool):
@@ -185,23 +183,25 @@ def contamination(df: DataFrame, benchmark: DataFrame, *, text: str = "text", it
                                 was = np.unpackbits(np.frombuffer(old, np.uint8), count=n).astype(bool)
                                 hit = was if hit is None else hit | was
                             rows[i] = n, hit, found | set(ids)
-                    own = part.columns[:width]
                     if not last:
-                        yield pa.RecordBatch.from_arrays([*own, pa.array([None if h is None else np.packbits(h).tobytes() for _, h, _ in rows], pa.binary()), pa.array([sorted(f) for *_, f in rows], pa.list_(pa.string()))], names=passed.names)
+                        yield pa.RecordBatch.from_arrays([*part.columns[:width], pa.array([None if h is None else np.packbits(h).tobytes() for _, h, _ in rows], pa.binary()), pa.array([sorted(f) for *_, f in rows], pa.list_(pa.string()))], names=passed.names)
                         continue
                     n = [r[0] for r in rows]
                     hits = [0 if r[1] is None else int(np.count_nonzero(r[1])) for r in rows]
                     yield pa.RecordBatch.from_arrays([
-                        *own, pa.array(n, pa.int64()), pa.array(hits, pa.int64()), pa.array([len(r[2]) for r in rows], pa.int64()),
+                        *(part.column(i) for i in places), pa.array(n, pa.int64()), pa.array(hits, pa.int64()), pa.array([len(r[2]) for r in rows], pa.int64()),
                         pa.array([sha_of(r[2]) for r in rows], pa.string()), pa.array([h > 0 and share * h >= m for h, m in zip(hits, n)])], names=final.names)
 
         return run
 
-    sent = [spark.sparkContext.broadcast(([r["id"] for r in b], [r["text"] for r in b])) for b in _blocks(items, max_broadcast_bytes)]
+    n, items = _blocks(items, max_broadcast_bytes)
     out = df
-    for j, b in enumerate(sent):
-        last = j == len(sent) - 1
-        out = map_arrow(out, over(b, j == 0, last), final if last else passed)
+    for j in range(n):  # one block at a time is on the driver and in the tasks
+        rows = items.filter(F.col("block") == j).collect()
+        sent = spark.sparkContext.broadcast(([r["id"] for r in rows], [r["text"] for r in rows]))
+        last = j == n - 1
+        out = map_arrow(out, over(sent, j == 0, last), final if last else passed)
         if not last:
             out = written(out, "hits")
+            sent.destroy()
     return out

@@ -1,8 +1,8 @@
 """Quality classifier: supervised subword embeddings.
 
-A text's features are its white-space words (case kept) and the 2- to 4-byte n-grams of their UTF-8 that
-hold white space at most at an edge (the word-boundary marks), each hashed to one of ``buckets`` vectors,
-and for each word one of two marks: whether it repeats the word before it.
+A text's features are its white-space words (case kept) and the 2- to 4-character n-grams that hold white
+space at most at an edge (the word-boundary marks), each hashed to one of ``buckets`` vectors, and for each
+word one of two marks with vectors of their own: whether it repeats the word before it.
 Vectors are averaged over the text and a softmax layer gives the classes; vectors and layer are learned
 together by stochastic gradient descent in numpy.
 
@@ -14,7 +14,8 @@ Training takes at most ``max_rows`` labelled rows, those with the least MD5 of t
 driver's work, documented here; all else covers all rows.  The driver holds their features compressed.
 
 Cases: a null or empty text has no features and scores the bias alone; labels that are null, or whose
-document is missing, aren't learned from; of contradicting labels of one document the largest holds;
+document is missing, aren't learned from; of contradicting labels of one document the largest holds, of
+its texts the least;
 without labels every score is 0.5; repeated rows are scored each; an empty table gives an empty result.
 """
 
@@ -33,12 +34,14 @@ from .kernels import CASED, SPACED, bytes_of, map_arrow, words
 from .shared import schema_with, ship
 
 _SEGMENT = 1 << 20
+MARKS = 2
 _T = [np.random.default_rng(977 + i).integers(0, 1 << 32, 256, dtype=np.uint32) for i in range(4)]
+_ODD = np.random.default_rng(981).integers(0, 1 << 31, 5, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 @dataclass
 class Model:
-    """score = 1 / (1 + exp(-(bias + mean of weight[feature])))"""
+    """score = 1 / (1 + exp(-(bias + mean of weight[feature]))), with a weight for each bucket and mark"""
 
     weight: np.ndarray
     bias: float
@@ -50,32 +53,49 @@ def _features(data: np.ndarray, offsets: np.ndarray, buckets: int) -> list[tuple
     n = len(data)
     texts = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
     w = words(texts, SPACED, codes=CASED)
-    again = np.zeros(len(w.hash), np.uint32)
-    again[1:] = w.hash[1:] == w.hash[:-1]
+    again = np.full(len(w.hash), buckets, np.uint32)
+    again[1:] += w.hash[1:] == w.hash[:-1]
     first = w.bounds[:-1]
-    again[first[first < len(again)]] = 0
+    again[first[first < len(again)]] = buckets
     out = [((w.hash >> np.uint64(32)).astype(np.uint32) & mask, w.bounds), (again, w.bounds)]
-    space = ~SPACED[data]
-    code = np.where(space, np.uint8(32), data)
-    h = _T[0][code]
+    code, space, ends = _characters(data, offsets)
+    n = len(code)
+    h = code
     ok = np.ones(n, bool)  # no white space strictly inside
     for k in (2, 3, 4):
         m = n - k + 1
         if m <= 0:
             break
-        h = (h[:m] * np.uint32(0x9E3779B1)) ^ _T[k - 1][code[k - 1 :]]
+        h = (h[:m] * np.uint32(0x9E3779B1)) ^ (code[k - 1 :] * _ODD[k])
         if k > 2:
             ok = ok[:m] & ~space[k - 2 : k - 2 + m]
         good = ok[:m].copy()
         for back in range(1, k):  # none across texts
-            at = offsets[1:-1] - back
+            at = ends[1:-1] - back
             good[at[(at >= 0) & (at < m)]] = False
         at = np.flatnonzero(good)
         g = h[at]
-        out.append(((g ^ (g >> np.uint32(15))) & mask, np.searchsorted(at, offsets)))
+        g = (g ^ (g >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+        out.append(((g >> np.uint32(13)) & mask, np.searchsorted(at, ends)))
     return out
 
 
+def _characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A hash of each character of UTF-8 texts (white space: of the blank), whether it is white space, and each text's first character."""
+    space = ~SPACED[data]
+    code = _T[0][np.where(space, np.uint8(32), data)]
+    inner = (data & np.uint8(0xC0)) == 0x80
+    if not inner.any():
+        return code, space, offsets
+    at = np.flatnonzero(~inner)
+    code, n, go = code[at], len(data), np.ones(len(at), bool)
+    for j in (1, 2, 3):
+        after = np.minimum(at + j, n - 1)
+        go = go & (at + j < n) & inner[after]
+        code[go] = (code[go] * np.uint32(0x85EBCA6B)) ^ _T[j][data[after[go]]]
+    return code, space[at], np.searchsorted(at, offsets)
+
+
 def _pieces(offsets: np.ndarray, data: np.ndarray):
     """Texts cut at the first white space after each megabyte, and the text of each piece."""
     if len(offsets) < 2 or np.max(np.diff(offsets)) <= 2 * _SEGMENT:
@@ -101,7 +121,7 @@ def mean_weights(texts, weight: np.ndarray) -> np.ndarray:
     while i < len(owner):
         j = int(np.searchsorted(cuts, cuts[i] + _SEGMENT, "right")) - 1
         j = min(len(owner), max(j, i + 1))
-        for f, b in _features(data[cuts[i] : cuts[j]], cuts[i : j + 1] - cuts[i], len(weight)):
+        for f, b in _features(data[cuts[i] : cuts[j]], cuts[i : j + 1] - cuts[i], len(weight) - MARKS):
             n = np.diff(b)
             full = np.flatnonzero(n)
             if len(full):
@@ -137,10 +157,10 @@ def sgd(examples: list[bytes], labels: np.ndarray, *, buckets: int, dim: int = 1
     """Learn vectors and layer from ``packed`` texts, one unpacked at a time; the two-class softmax is kept as its difference,
     a logistic layer."""
     rng = np.random.default_rng(seed)
-    vectors = rng.uniform(-1 / dim, 1 / dim, (buckets, dim)).astype(np.float32)
+    vectors = rng.uniform(-1 / dim, 1 / dim, (buckets + MARKS, dim)).astype(np.float32)
     layer, bias = rng.normal(0, 0.5, dim).astype(np.float32), 0.0
     if len(labels) == 0:
-        return Model(np.zeros(buckets, np.float32), 0.0)
+        return Model(np.zeros(buckets + MARKS, np.float32), 0.0)
     steps, n = 0, epochs * len(labels)
     for _ in range(epochs):
         for i in rng.permutation(len(labels)):
@@ -167,7 +187,9 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     chosen = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull() & may_learn(F.col(key))).groupBy(F.col(key).alias("k")).agg(F.max(label).cast("int").alias("y"))
     chosen = chosen.orderBy(F.md5(F.col("k").cast("string")), "k").limit(max_rows)
     # at most max_rows rows of two numbers: small enough to send
-    rows = docs.select(docs[key].alias("id"), docs[text].alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("k")).select("id", "y", "text")
+    rows = docs.select(docs[key].alias("id"), docs[text].alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("k"))
+    # one row of an id that repeats, before features are made or collected: the least text, combined before the shuffle
+    rows = rows.groupBy("id").agg(F.max("y").alias("y"), F.min("text").alias("text")).select("id", "y", "text")
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("y", T.IntegerType()), T.StructField("f", T.BinaryType())])
 
     def run(batches):
@@ -177,11 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
                 made = counted(part.column(2), buckets)
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(1), pa.array([packed(*x) for x in made], pa.binary())], names=schema.names)
 
-    got, seen = [], set()
-    for r in sorted(map_arrow(rows, run, schema).collect(), key=lambda r: (r["id"], r["f"])):
-        if r["id"] not in seen:  # one row of a repeated id keeps the bound
-            seen.add(r["id"])
-            got.append(r)
+    got = sorted(map_arrow(rows, run, schema).collect(), key=lambda r: r["id"])  # at most max_rows rows
     return sgd([r["f"] for r in got], np.array([r["y"] for r in got], np.float32), buckets=buckets, **options)
 
 

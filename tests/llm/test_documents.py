@@ -2,6 +2,7 @@
 ties, repeated rows, empty tables and clashing column names."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -299,7 +300,7 @@ def test_quality_learns_held_out_labels(spark):
 def test_scoring_equals_one_text_at_a_time(monkeypatch):
     rng = random.Random(8)
     texts = [words(rng, rng.randrange(60)) for _ in range(50)] + [t for t in ODD if t]
-    weight = np.random.default_rng(1).normal(size=1 << 10).astype(np.float32)
+    weight = np.random.default_rng(1).normal(size=(1 << 10) + quality.MARKS).astype(np.float32)
     together = quality.mean_weights(pa.array(texts), weight)
     alone = np.array([quality.mean_weights(pa.array([t]), weight)[0] for t in texts])
     assert np.allclose(together, alone, atol=1e-12)
@@ -309,6 +310,35 @@ def test_scoring_equals_one_text_at_a_time(monkeypatch):
     assert quality.mean_weights(pa.array([LONG]), weight).shape == (1,)
 
 
+def test_ngrams_are_of_characters():
+    for text, n in (("abcde", 4 + 3 + 2), ("日本語テ", 3 + 2 + 1), ("é a", 2 + 0 + 0), ("𝄞ßx", 2 + 1)):
+        found = quality._features(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]), 1 << 18)
+        assert sum(len(f) for f, _ in found[2:]) == n, text
+    texts = ["日本", "語本", "ab", ""]
+    data, offsets = kernels.bytes_of(pa.array(texts))
+    code, space, first = quality._characters(data, offsets)
+    assert first.tolist() == [0, 2, 4, 6, 6] and code[1] == code[3] and len(set(code.tolist())) == 5 and not space.any()
+
+
+def test_quality_of_real_held_out_labels(spark):
+    path = "/root/testdata/sf0.01"
+    if not os.path.isdir(path):
+        pytest.skip("no test tables")
+    docs_, labels = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet")
+    scored = quality.score(docs_, quality.train(docs_, labels), out="p").join(labels, "doc_id").filter(~quality.learnable(F.col("doc_id"))).select("p", "quality").collect()
+    good, bad = [r.p for r in scored if r.quality == 1], [r.p for r in scored if r.quality == 0]
+    auc = sum((g > b) + 0.5 * (g == b) for g in good for b in bad) / (len(good) * len(bad))
+    assert len(good) > 20 and len(bad) > 5 and auc > 0.97 and sum((r.p >= 0.3) == (r.quality == 1) for r in scored) >= 0.93 * len(scored)
+
+
+def test_quality_of_repeated_labelled_ids(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(quality, "sgd", lambda examples, labels, **_: seen.update(n=len(examples)))
+    rows = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text")).union(spark.createDataFrame([(8, None)], "doc_id long, text string"))
+    quality.train(rows, spark.createDataFrame([(7, 1), (7, 0), (8, 1)], "doc_id long, quality int"), may_learn=lambda k: F.lit(True))
+    assert seen["n"] == 2
+
+
 def test_quality_learns_from_4096_rows_packed_small(spark, monkeypatch):
     seen = {}
     monkeypatch.setattr(quality, "sgd", lambda examples, labels, **_: seen.update(examples=examples, labels=labels))
