@@ -7,6 +7,8 @@ where the dialect asks for it) gives places and captures.
 from __future__ import annotations
 
 import re
+import warnings
+from re import _parser
 from dataclasses import dataclass, field
 
 from ..model import SearchOptions
@@ -360,6 +362,86 @@ def has_upper(p: str) -> bool:
     return bool(re.search("[A-Z]", re.sub(r"\\(?:[pP]\{[^}]*\}|[xuo]\{[^}]*\}|.)|\[:\^?\w+:\]", "", p, flags=re.S)))
 
 
+def _charset(item) -> set[int] | None:
+    """Characters below 256 that a one-character item of a parsed pattern matches, None for other items."""
+    op, arg = item
+    name = str(op)
+    if name == "LITERAL":
+        return {arg} | {ord(x) for x in chr(arg).swapcase()}
+    if name == "ANY":
+        return set(range(256)) - {10}
+    if name == "NOT_LITERAL":
+        return set(range(256)) - {arg}
+    if name == "IN":
+        found: set[int] = set()
+        for o, a in arg:
+            if str(o) == "LITERAL":
+                found |= _charset((o, a))
+            elif str(o) == "RANGE":
+                found |= {y for x in range(a[0], min(a[1], 1000) + 1) for y in (x, *(ord(z) for z in chr(x).swapcase()))}
+            elif str(o) != "NEGATE":
+                return None
+        return set(range(1 << 11)) - found if str(arg[0][0]) == "NEGATE" else found
+    return None
+
+
+def _flat(items) -> list | None:
+    """A parsed pattern as one sequence of (kind, characters or width): fixed, free (a repeated character) or none; None if unclear."""
+    out: list = []
+    for op, arg in items:
+        name = str(op)
+        if name == "SUBPATTERN":
+            inner = _flat(arg[-1])
+            if inner is None:
+                return None
+            out += inner
+        elif name == "BRANCH":
+            ways = [_flat(w) for w in arg[1]]
+            if any(w is None or any(k == "free" for k, _ in w) for w in ways):
+                return None
+            widths = {len([1 for k, _ in w if k == "fixed"]) for w in ways}
+            literal = [tuple(min(c) for _, c in w) if all(k == "fixed" and c and len(c) <= 2 for k, c in w) else None for w in ways]
+            if len(widths) > 1 and (None in literal or any(a != b and b[: len(a)] == a for a in literal for b in literal)):
+                return None  # an alternative may begin another
+            out.append(("branch", None))
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            low, high, inner = arg
+            one = _charset(inner[0]) if len(inner) == 1 else None
+            if low == high and name == "MAX_REPEAT" and one is not None:
+                out += [("fixed", one)] * min(low, 2)
+            elif name == "MAX_REPEAT" and one is not None:
+                out.append(("free", one))
+            else:
+                return None
+        elif name == "AT":
+            continue
+        else:
+            one = _charset((op, arg))
+            if one is None:
+                return None
+            out.append(("fixed", one))
+    return out
+
+
+def first_is_longest(alternatives: tuple[str, ...]) -> bool:
+    """Whether it is proven that the match an engine takes first is the longest at its place: alternatives are of one width or none
+    begins another, and each repeated character but the last is followed by one that it can't match."""
+    text = "|".join(f"(?:{a})" for a in alternatives)
+    if re.search(r"\[\[|\[:|&&|\|\||~~|--|\\[pPRXhHNKGwWdDsSbBAzZ1-9Qx]|\(\?[^:P<]|\(\?<[=!]", text):
+        wrap = re.fullmatch(r"\(\?:\(\?<!\\w\)\(\?:(.*)\)\(\?!\\w\)\)", text)  # whole words of one pattern
+        return bool(wrap) and first_is_longest((wrap[1],))
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("error")
+            flat = _flat(_parser.parse(text.replace("(?<", "(?P<")))
+    except (re.error, FutureWarning, DeprecationWarning, OverflowError, RecursionError):
+        return False
+    if flat is None:
+        return False
+    free = [i for i, (k, _) in enumerate(flat) if k == "free"]
+    return all(i + 1 < len(flat) and flat[i + 1][0] == "fixed" and not (flat[i][1] & flat[i + 1][1]) for i in free[:-1])
+
+
 @dataclass(frozen=True)
 class Compiled:
     """Patterns ready to use: one JVM regex, the finder's alternatives, negatives first, and what holds of all matches."""
@@ -374,6 +456,11 @@ class Compiled:
     ignore_case: bool
     multiline: bool
 
+    @property
+    def jvm_finds_longest(self) -> bool:
+        """Whether the JVM's first match is the match to report."""
+        return not self.longest or first_is_longest(self.finder)
+
 
 def compile_patterns(o: SearchOptions) -> Compiled:
     """Translate a search's patterns; alternatives in their order, negatives apart."""
@@ -397,6 +484,8 @@ def compile_patterns(o: SearchOptions) -> Compiled:
         return translate_ere(bre_to_ere(x) if o.dialect == "bre" else x, ascii_=o.ascii)
 
     def wrap(t: Translated) -> Translated:
+        if o.free_space:  # a comment at the end must not run into what follows
+            t = Translated(t.jvm + "\n", t.finder + "\n")
         if o.whole_line:
             return Translated(f"^(?:{t.jvm})$", f"^(?:{t.finder})$")
         if o.word:

@@ -15,7 +15,7 @@ def lines_array(text, sep: str = "\n") -> Column:
     """Lines of a text as an array, within its row: no shuffle, no explode."""
     text = F.col(text) if isinstance(text, str) else text
     parts = F.split(text, sep if sep != "\0" else "\\x00", -1)
-    return F.when(text == "", F.array().cast("array<string>")).when(F.endswith(text, F.lit(sep)), F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    return F.when(text == "", F.array().cast("array<string>")).when(F.endswith(text, F.lit(sep)), F.slice(parts, F.lit(1), F.array_size(parts) - 1)).otherwise(parts)
 
 
 def lines(df: DataFrame, *, key: str | list[str] = "key", text: str = "text", offsets: bool = False, sep: str = "\n", keep: list[str] = ()) -> DataFrame:

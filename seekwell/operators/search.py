@@ -49,17 +49,26 @@ def count_lines(df: DataFrame, options: SearchOptions, *, key="key", text: str =
         keys = [key] if isinstance(key, str) else list(key)
         hits = find_matches(df, options, text=text, keep=keys).groupBy(*keys).agg(F.count_distinct("line_no").alias("n"))
         return df.select(*keys).distinct().join(hits, keys, "left").select(*keys, F.coalesce("n", F.lit(0)).cast("long").alias("n"))
-    return _per_row(df, F.size(F.filter(_in_range(options, text), lambda x: predicate(x, options))), key, unique)
+    return _per_row(df, F.array_size(F.filter(_in_range(options, text), lambda x: predicate(x, options))), key, unique)
 
 
-def count_matches(df: DataFrame, options: SearchOptions, *, key="key", text: str = "text", unique: bool = True) -> DataFrame:
-    """Matches of each file, zeros kept; counted in the JVM where empty matches and longest matches can't differ."""
+def _needs_finder(options: SearchOptions) -> bool:
     c = compile_patterns(options)
-    if c.negatives or c.keeps_empty or c.multiline or (c.longest and len(c.finder) > 1):
+    return bool(c.negatives or c.keeps_empty or c.multiline or not c.jvm_finds_longest)
+
+
+def _matches_of(text: Column, options: SearchOptions) -> Column:
+    """Matches of one line as an array, in the JVM."""
+    return F.filter(F.regexp_extract_all(text, F.lit(compile_patterns(options).jvm), F.lit(0)), lambda m: m != "")
+
+
+def count_matches(df: DataFrame, options: SearchOptions, *, key="key", text: str = "text", unique: bool = True) -> DataFrame:
+    """Matches of each file, zeros kept; counted in the JVM where its first match is proven to be the longest, else by the finder."""
+    if _needs_finder(options):
         keys = [key] if isinstance(key, str) else list(key)
         hits = find_matches(df, options, text=text, keep=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
         return df.select(*keys).distinct().join(hits, keys, "left").select(*keys, F.coalesce("n", F.lit(0)).cast("long").alias("n"))
-    value = F.aggregate(F.transform(_in_range(options, text), lambda x: F.size(F.filter(F.regexp_extract_all(x, F.lit(c.jvm), F.lit(0)), lambda m: m != ""))), F.lit(0), lambda a, b: a + b)
+    value = F.aggregate(F.transform(_in_range(options, text), lambda x: F.array_size(_matches_of(x, options))), F.lit(0), lambda a, b: a + b)
     return _per_row(df, value, key, unique)
 
 
@@ -89,11 +98,15 @@ def exists(df: DataFrame, options: SearchOptions, *, text: str = "text") -> bool
 
 
 def only_matching(df: DataFrame, options: SearchOptions, *, key="key", text: str = "text") -> DataFrame:
-    """(key, line_no, match_no in the line, match) in the JVM: for patterns whose first match is the longest."""
-    found = F.filter(F.regexp_extract_all(F.col("line"), F.lit(compile_patterns(options).jvm), F.lit(0)), lambda m: m != "")
+    """(key, line_no, match_no in the line, match): in the JVM where its first match is proven to be the longest, else by the finder."""
     keys = [key] if isinstance(key, str) else list(key)
-    rows = matching_lines(df, options.with_(invert=False), key=key, text=text)
-    return rows.select(*keys, "line_no", F.posexplode(found).alias("match_no", "match")).withColumn("match_no", (F.col("match_no") + 1).cast("long"))
+    options = options.with_(invert=False)
+    if _needs_finder(options):
+        found = find_matches(df, options, text=text, keep=keys)
+        by = W.partitionBy(*keys, "line_no").orderBy("match_no")
+        return found.select(*keys, "line_no", F.row_number().over(by).cast("long").alias("match_no"), "match")
+    rows = matching_lines(df, options, key=key, text=text)
+    return rows.select(*keys, "line_no", F.posexplode(_matches_of(F.col("line"), options)).alias("match_no", "match")).withColumn("match_no", (F.col("match_no") + 1).cast("long"))
 
 
 def ungrouped(df: DataFrame, options: SearchOptions, *, key="key", text: str = "text") -> DataFrame:
@@ -105,7 +118,10 @@ def ungrouped(df: DataFrame, options: SearchOptions, *, key="key", text: str = "
 def first_per_line(matches: DataFrame, key: str = "key") -> DataFrame:
     """One record a line, of its first match."""
     w = W.partitionBy(key, "line_no").orderBy("match_no")
-    return matches.withColumn("rank", F.row_number().over(w)).filter("rank = 1").drop("rank")
+    rank = "rank"
+    while rank in matches.columns:
+        rank += "_"
+    return matches.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) == 1).drop(rank)
 
 
 def max_count(df: DataFrame, options: SearchOptions, most: int, *, key="key", text: str = "text") -> DataFrame:
@@ -118,7 +134,7 @@ def max_count(df: DataFrame, options: SearchOptions, most: int, *, key="key", te
 
 def min_count(df: DataFrame, options: SearchOptions, least: int, *, key="key", text: str = "text") -> DataFrame:
     """Matching lines of files that have at least ``least``."""
-    rows = df.filter(F.size(F.filter(_in_range(options, text), lambda x: predicate(x, options))) >= least)
+    rows = df.filter(F.array_size(F.filter(_in_range(options, text), lambda x: predicate(x, options))) >= least)
     return matching_lines(rows, options, key=key, text=text)
 
 
@@ -131,38 +147,45 @@ def unique_lines(matches: DataFrame, key: str = "key") -> DataFrame:
     return first_per_line(matches, key)
 
 
-def pattern_set(df: DataFrame, patterns: DataFrame, *, key="key", text: str = "text", pattern_id: str = "pattern_id", regex: str = "regex", most_bytes: int = 1 << 20) -> DataFrame:
-    """Which of a set of patterns each line matches: (key, line_no, pattern_id).
+def pattern_set(df: DataFrame, patterns: DataFrame, *, key="key", text: str = "text", pattern_id: str = "pattern_id", regex: str = "regex", options: SearchOptions = SearchOptions(), most_bytes: int = 1 << 17) -> DataFrame:
+    """Which of a set of patterns each line matches: (key, line_no, pattern_id); the patterns are of the dialect of ``options``.
 
-    The set is sent to the tasks only up to ``most_bytes``; a larger one is dealt into as many parts, each joined so."""
+    Patterns become conditions of their own, compiled once, in one pass over the lines.  A set of more than ``most_bytes``
+    is dealt into as many parts, one of which is on the driver at a time, with a pass for each."""
     size = patterns.agg(F.sum(F.octet_length(regex)).alias("n")).first()["n"] or 0
     rows, keys = lines(df, key=key, text=text), [key] if isinstance(key, str) else list(key)
-    parts, out = int(size // most_bytes) + 1, None
+    kind, parts, out = patterns.schema[pattern_id].dataType, int(size // most_bytes) + 1, None
     for i in range(parts):
         own = patterns if parts == 1 else patterns.filter(F.pmod(F.xxhash64(pattern_id, regex), F.lit(parts)) == i)
-        one = rows.join(F.broadcast(own.select(pattern_id, F.col(regex).alias("__regex"))), F.expr("line rlike __regex")).select(*keys, "line_no", pattern_id)
+        own = own.filter(F.col(regex).isNotNull()).select(pattern_id, regex).collect()
+        hits = [F.when(predicate("line", options.with_(patterns=(r[1],))), F.struct(F.lit(r[0]).cast(kind).alias(pattern_id))) for r in own]
+        found = F.filter(F.array(*hits), lambda x: x.isNotNull()) if hits else F.array().cast(f"array<struct<`{pattern_id}`: {kind.simpleString()}>>")
+        one = rows.select(*keys, "line_no", F.inline(found))
         out = one if out is None else out.union(one)
     return out
 
 
 def stats(df: DataFrame, options: SearchOptions, *, text: str = "text") -> DataFrame:
     """One row: files, files_matched, lines, lines_matched, matches, bytes, ratio (of files matched)."""
-    c = compile_patterns(options)
     a = _in_range(options, text)
+    none, slow = F.lit(0), _needs_finder(options)
+    matches = none if slow else F.aggregate(F.transform(a, lambda x: F.array_size(_matches_of(x, options))), F.lit(0), lambda x, y: x + y)
     rows = df.select(
-        F.coalesce(F.size(a), F.lit(0)).alias("l"), F.coalesce(F.size(F.filter(a, lambda x: predicate(x, options))), F.lit(0)).alias("h"),
-        F.coalesce(F.aggregate(F.transform(a, lambda x: F.size(F.filter(F.regexp_extract_all(x, F.lit(c.jvm), F.lit(0)), lambda m: m != ""))), F.lit(0), lambda x, y: x + y), F.lit(0)).alias("m"),
-        F.coalesce(F.octet_length(text), F.lit(0)).alias("b"))
+        F.coalesce(F.array_size(a), none).alias("l"), F.coalesce(F.array_size(F.filter(a, lambda x: predicate(x, options))), none).alias("h"),
+        F.coalesce(matches, none).alias("m"), F.coalesce(F.octet_length(text), none).alias("b"))
     total = rows.agg(
-        F.count(F.lit(1)).alias("files"), F.coalesce(F.sum((F.col("h") > 0).cast("long")), F.lit(0)).alias("files_matched"), F.coalesce(F.sum("l"), F.lit(0)).cast("long").alias("lines"),
-        F.coalesce(F.sum("h"), F.lit(0)).cast("long").alias("lines_matched"), F.coalesce(F.sum("m"), F.lit(0)).cast("long").alias("matches"), F.coalesce(F.sum("b"), F.lit(0)).cast("long").alias("bytes"))
+        F.count(F.lit(1)).alias("files"), F.coalesce(F.sum((F.col("h") > 0).cast("long")), none).alias("files_matched"), F.coalesce(F.sum("l"), none).cast("long").alias("lines"),
+        F.coalesce(F.sum("h"), none).cast("long").alias("lines_matched"), F.coalesce(F.sum("m"), none).cast("long").alias("matches"), F.coalesce(F.sum("b"), none).cast("long").alias("bytes"))
+    if slow:  # one row beside one row
+        counted = find_matches(df, options.with_(invert=False), text=text, keep=[]).agg(F.count(F.lit(1)).alias("__m"))
+        total = total.join(counted, F.lit(True)).withColumn("matches", F.col("__m")).drop("__m")
     return total.withColumn("ratio", F.when(F.col("files") > 0, F.col("files_matched") / F.col("files")).otherwise(F.lit(0.0)))
 
 
 def tree(paths: DataFrame, path: str = "path", n: str | None = None) -> DataFrame:
     """Files (and the sum of ``n``) below every directory of the paths: (dir, files, n)."""
     parts = F.split(F.col(path), "/")
-    dirs = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    dirs = F.transform(F.sequence(F.lit(0), F.array_size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
     value = F.lit(0) if n is None else F.col(n)
     return paths.select(F.explode(dirs).alias("dir"), value.alias("n")).groupBy("dir").agg(F.count(F.lit(1)).alias("files"), F.sum("n").cast("long").alias("n"))
 
@@ -171,7 +194,7 @@ def sorted_files(files: DataFrame, by: str = "name", *, path: str = "path", reve
     """Files sorted by name, size, changed or best; by name, files of a directory come before its subdirectories."""
     if by == "name":
         parts = F.split(F.col(path), "/")
-        key = F.transform(parts, lambda x, i: F.struct((i < F.size(parts) - 1).alias("d"), x.alias("p")))
+        key = F.transform(parts, lambda x, i: F.struct((i < F.array_size(parts) - 1).alias("d"), x.alias("p")))
         order = [key]
     else:
         order = [F.col({"size": "length", "changed": "modificationTime", "best": "cost"}.get(by, by)), F.col(path)]

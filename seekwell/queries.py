@@ -242,12 +242,10 @@ def max_files(spark, sf_dir):
     return _numbered(search.max_files(search.matching_lines(_docs(spark, sf_dir), _O(patterns=("thing",)), key="doc_id"), 5, key="doc_id"))
 
 
-@_query("SELECT doc_id, word, CAST(levenshtein(word, 'therethat') AS INTEGER) AS cost FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[\\p{L}\\p{M}\\p{N}_]+')) AS word FROM documents) WHERE left(word, 1) = 't' AND regexp_matches(word, '^[a-z]+$') AND levenshtein(word, 'therethat') <= 2", with_lines=False)
+@_query(r"SELECT doc_id, word, CAST(levenshtein(regexp_replace(word, '[^\x00-\x7F]', '#', 'g'), 'therethat') AS INTEGER) AS cost FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+')) AS word FROM documents) WHERE left(word, 1) = 't' AND levenshtein(regexp_replace(word, '[^\x00-\x7F]', '#', 'g'), 'therethat') <= 2", with_lines=False)
 def best_match_levenshtein(spark, sf_dir):
-    return fuzzy.fuzzy_words(_docs(spark, sf_dir), "therethat", 2, key="doc_id").filter(F.col("word").rlike("^[a-z]+$"))
-
-
-ORACLE_SQL["best_match_levenshtein"] = ORACLE_SQL["best_match_levenshtein"].replace("\\\\", "\\")
+    """All words; in the SQL, whose distance is of bytes, a character beyond ASCII counts as one that the pattern lacks."""
+    return fuzzy.fuzzy_words(_docs(spark, sf_dir), "therethat", 2, key="doc_id")
 
 
 @_query()
@@ -308,12 +306,13 @@ def tag_matches(spark, sf_dir):
 
 
 ORACLE_SQL["tag_matches"] = ORACLE_SQL["tag_matches"].replace("\\\\", "\\")
-_SET = [(1, "lic[a-z]+"), (2, "[0-9]{5}"), (3, "@mail"), (4, r"\*\*\*")]
+# patterns of our dialect, and what they are in SQL
+_SET = [(1, "lic[a-z]+", "lic[a-z]+"), (2, "[[:digit:]]{5}", "[0-9]{5}"), (3, "@mail", "@mail"), (4, r"\*\*\*", r"\*\*\*"), (5, r"\<thing", r"\bthing"), (6, "[a-z--[aeiou]]{5}", "[b-df-hj-np-tv-z]{5}")]
 
 
-@_query("SELECT doc_id, line_no, pattern_id FROM lines JOIN (VALUES " + ", ".join(f"({i}, '{p}')" for i, p in _SET) + ") AS p(pattern_id, regex) ON regexp_matches(line, regex)")
+@_query("SELECT doc_id, line_no, pattern_id FROM lines JOIN (VALUES " + ", ".join(f"({i}, '{p}')" for i, _, p in _SET) + ") AS p(pattern_id, regex) ON regexp_matches(line, regex)")
 def pattern_set_join(spark, sf_dir):
-    return search.pattern_set(_docs(spark, sf_dir), spark.createDataFrame(_SET, "pattern_id int, regex string"), key="doc_id")
+    return search.pattern_set(_docs(spark, sf_dir), spark.createDataFrame([x[:2] for x in _SET], "pattern_id int, regex string"), key="doc_id")
 
 
 @_query("SELECT page_id, CAST(generate_subscripts(m, 1) AS BIGINT) AS match_no, unnest(m) AS match FROM (SELECT page_id, regexp_extract_all(html, 'href=\"[^\"\\n]*\"') AS m FROM pages)", with_lines=False)
@@ -347,9 +346,10 @@ def glob_select(spark, sf_dir):
     return pages.filter(globs.globs_condition(path, ["*.example.net/en/*", "*.example.com/en/*"], exclude=["*.html"]))
 
 
-@_query("SELECT dir, count(*) AS files, CAST(0 AS BIGINT) AS n FROM (SELECT unnest([split_part(p, '/', 1), split_part(p, '/', 1) || '/' || split_part(p, '/', 2), '']) AS dir FROM (SELECT regexp_extract(url, '^https?://([^/]+/[^/]+/)', 1) || 'x' AS p FROM pages)) GROUP BY dir", with_lines=False)
+@_query("SELECT dir, count(*) AS files, CAST(sum(n) AS BIGINT) AS n FROM (SELECT unnest([split_part(p, '/', 1), split_part(p, '/', 1) || '/' || split_part(p, '/', 2), '']) AS dir, n FROM (SELECT regexp_extract(url, '^https?://([^/]+/[^/]+/)', 1) || 'x' AS p, strlen(html) AS n FROM pages)) GROUP BY dir", with_lines=False)
 def tree_counts(spark, sf_dir):
-    return search.tree(_table(spark, sf_dir, "pages").select(F.concat(F.regexp_extract("url", "^https?://([^/]+/[^/]+/)", 1), F.lit("x")).alias("path")))
+    path = F.concat(F.regexp_extract("url", "^https?://([^/]+/[^/]+/)", 1), F.lit("x"))
+    return search.tree(_table(spark, sf_dir, "pages").select(path.alias("path"), F.octet_length("html").alias("n")), n="n")
 
 
 @_query("SELECT page_id, CAST(strlen(html) AS BIGINT) AS length FROM pages WHERE strlen(html) BETWEEN 2048 AND 8192", with_lines=False)
@@ -358,9 +358,11 @@ def size_filter(spark, sf_dir):
     return pages.filter(globs.size_condition("length", "2k", "8k"))
 
 
-@_query("SELECT doc_id, contains(text, chr(0)) AS binary FROM documents", with_lines=False)
+@_query("SELECT doc_id, doc_id % 3 > 0 OR contains(text, chr(0)) AS binary FROM documents", with_lines=False)
 def binary_filter(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", is_binary(F.encode("text", "UTF-8")).alias("binary"))
+    """A third of the documents end in NUL, a third in a byte that isn't UTF-8."""
+    end = F.element_at(F.array(F.lit(b""), F.lit(b"\0"), F.lit(b"\xff")), (F.col("doc_id") % 3 + 1).cast("int"))
+    return _docs(spark, sf_dir).select("doc_id", is_binary(F.concat(F.encode("text", "UTF-8"), end)).alias("binary"))
 
 
 @_query("SELECT key, count(*) AS n FROM (SELECT unnest(regexp_extract_all(props, '\"([a-z_]+)\":', 1)) AS key FROM events) GROUP BY key", with_lines=False)
@@ -386,9 +388,9 @@ def line_width(spark, sf_dir):
     return _numbered(context.cut_width(search.matching_lines(_docs(spark, sf_dir), _O(patterns=("thing",), dialect="fixed"), key="doc_id"), 20))
 
 
-@_query("SELECT doc_id, line_no, lower(hex(encode(match))) AS hex FROM (SELECT doc_id, line_no, unnest(regexp_extract_all(line, '[a-z]+@mail')) AS match FROM lines)")
+@_query("SELECT doc_id, line_no, lower(hex(encode(match))) AS hex FROM (SELECT doc_id, line_no, unnest(regexp_extract_all(line, '[0-9]+@[a-z0-9]+')) AS match FROM lines)")
 def hex_fields(spark, sf_dir):
-    return search.only_matching(_docs(spark, sf_dir), _O(patterns=("[a-z]+@mail",)), key="doc_id").select("doc_id", "line_no", E.hex_text("match").alias("hex"))
+    return search.only_matching(_docs(spark, sf_dir), _O(patterns=("[0-9]+@[a-z0-9]+",)), key="doc_id").select("doc_id", "line_no", E.hex_text("match").alias("hex"))
 
 
 @_query("SELECT doc_id, CAST(i * 16 AS BIGINT) AS offset, lower(substr(h, i * 32 + 1, 32)) AS hex FROM (SELECT doc_id, h, unnest(range(0, (length(h) + 31) // 32)) AS i FROM (SELECT doc_id, hex(encode(text)) AS h FROM documents))", with_lines=False)
@@ -431,13 +433,6 @@ def archive_parts(spark, sf_dir):
     return archives.expand(files).select(F.substring_index(F.substring("path", 2, 99), "{", 1).cast("long").alias("doc_id"), "key", F.md5("content").alias("digest"))
 
 
-@_query("SELECT doc_id, md5(text) AS utf16, md5(text) AS utf32, md5(text) AS koi8 FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*')", with_lines=False)
-def decode_encodings(spark, sf_dir):
-    """ASCII documents only, as its SQL says; ``decode_all_documents`` covers the whole table."""
-    docs = _docs(spark, sf_dir).filter(F.col("text").rlike(r"\A[\x00-\x7F]*\z"))
-    return docs.select("doc_id", *(F.md5(encodings.decoded(F.encode("text", charset), name)).alias(out) for charset, name, out in (("UTF-16", "utf-8", "utf16"), ("UTF-32", "utf-32", "utf32"), ("US-ASCII", "koi8-r", "koi8"))))
-
-
 _LATIN9 = r"[\x00-\x{A3}\x{A5}\x{A7}\x{A9}-\x{B3}\x{B5}-\x{B7}\x{B9}-\x{BB}\x{BF}-\x{FF}\x{152}\x{153}\x{160}\x{161}\x{178}\x{17D}\x{17E}\x{20AC}]*"
 
 
@@ -452,7 +447,15 @@ def decode_all_documents(spark, sf_dir):
 
 
 def _stream_out(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="seekwell-stream-")
+    """A folder that driver and executors share; a temporary one only for a local master."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        at = spark.sparkContext._jsc.sc().getCheckpointDir()
+        base = at.get() if at.isDefined() else None
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="seekwell-stream-")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -500,3 +503,6 @@ def binary_policy(spark, sf_dir):
     """Odd documents end in a NUL line, so they are binary and shown in hexadecimal."""
     content = F.encode(F.concat("text", F.when(F.col("doc_id") % 2 == 1, F.lit("\n\0")).otherwise(F.lit(""))), "UTF-8")
     return search.by_binary_policy(_docs(spark, sf_dir).select("doc_id", content.alias("content")), _O(patterns=("thing",), binary="with-hex"), key="doc_id")
+
+
+from . import queries_more  # noqa: E402, F401  (adds its queries)

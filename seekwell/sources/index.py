@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.regex import compile_patterns
+from ..functions.regex import bre_to_ere, required_literal, split_alternatives
 from ..model import SearchOptions
 from ..shipping import ship
 
@@ -90,9 +90,21 @@ def update(index: DataFrame, files: DataFrame, *, key: str = "path", content: st
 
 
 def literals(options: SearchOptions) -> list[bytes] | None:
-    """Literals that every matching file holds; None if none is sure."""
-    c = compile_patterns(options)
-    return [c.literal.encode()] if c.literal and not options.invert else None
+    """Literals one of which every matching file holds; None if some alternative has no sure one."""
+    if options.invert or options.ignore_case or options.smart_case or options.free_space or options.dialect == "perl":
+        return None
+    found = []
+    for x in [x for p in options.patterns for x in p.split("\n")]:
+        if options.dialect == "fixed":
+            ways = [x]
+        elif x.startswith("(?^") or "(?" in x:
+            ways = [""]
+        else:
+            ways = [required_literal(w) for w in split_alternatives(bre_to_ere(x) if options.dialect == "bre" else x)]
+        if not all(ways):
+            return None
+        found += [w.encode() for w in ways]
+    return found or None
 
 
 def prune_condition(options: SearchOptions) -> Column:
@@ -103,13 +115,16 @@ def prune_condition(options: SearchOptions) -> Column:
 
     @F.arrow_udf("boolean")
     def ok(table: pa.Array, log2: pa.Array) -> pa.Array:
-        return pa.array([t is None or all(admits(t, n, x) for x in sure) for t, n in zip(table.to_pylist(), log2.to_pylist())], pa.bool_())
+        return pa.array([t is None or any(admits(t, n, x) for x in sure) for t, n in zip(table.to_pylist(), log2.to_pylist())], pa.bool_())
 
     return ok("table", "log2")
 
 
 def pruned(files: DataFrame, index: DataFrame, options: SearchOptions, *, key: str = "path", mtime: str = "modificationTime") -> DataFrame:
-    """Files that may match: those whose table admits it, those not indexed and those changed since."""
-    i = index.select(F.col("key").alias("__k"), F.col("mtime").alias("__m"), "log2", "table")
-    out = files.join(i, (F.col(key) == F.col("__k")) & (F.col(mtime) <= F.col("__m")), "left")
-    return out.filter(F.col("__k").isNull() | prune_condition(options)).select(*files.columns)
+    """Files that may match: those whose table admits it, those not indexed and those changed since.
+
+    Tables are tested by themselves; only keys of files that can't match are joined with the files."""
+    if not literals(options):
+        return files
+    no = index.filter(~prune_condition(options)).select(F.col("key").alias("__k"), F.col("mtime").alias("__m"))
+    return files.join(no, (F.col(key) == F.col("__k")) & (F.col(mtime) <= F.col("__m")), "left_anti")
