@@ -50,9 +50,9 @@ def grep_lookahead(spark, sf_dir):
     return _numbered(search.matching_lines(_docs(spark, sf_dir), _O(patterns=("th(?=ing)",)), key="doc_id"))
 
 
-@_query("SELECT doc_id, line_no, line FROM lines WHERE regexp_matches(line, '[A-Z]{2}[0-9]|[0-9] [A-Z]')")
+@_query("SELECT doc_id, line_no, line FROM lines WHERE regexp_matches(line, '[0-9]{2}[!-/:-@[-`{-~]|[A-Z]{2}')")
 def grep_posix_classes(spark, sf_dir):
-    return _numbered(search.matching_lines(_docs(spark, sf_dir), _O(patterns=("[[:upper:]]{2}[[:digit:]]|[[:digit:]][[:blank:]][[:upper:]]",), ascii=True), key="doc_id"))
+    return _numbered(search.matching_lines(_docs(spark, sf_dir), _O(patterns=("[[:digit:]]{2}[[:punct:]]|[[:upper:]]{2}",), ascii=True), key="doc_id"))
 
 
 @_query(r"SELECT doc_id, line_no, line FROM lines WHERE regexp_matches(line, '^[A-Z][a-z]+ .*\.$')")
@@ -156,12 +156,10 @@ def sort_by_size(spark, sf_dir):
 # --- fields of templates
 
 
-@_query("SELECT doc_id, doc_id || ':' || line_no || ':' || col || ':' || (col - 1) || ':' || strlen(m) || '|' || upper(left(m, 0)) || m AS out FROM (SELECT doc_id, line_no, strpos(line, 'license') AS col, 'license' AS m FROM lines WHERE line_no = 1 AND contains(line, 'license'))")
+@_query("SELECT doc_id, doc_id || ':' || line_no || ':' || col || ':' || strlen(left(line, col - 1)) || ':3|the' AS out FROM (SELECT *, CAST(strpos(line, 'the') AS BIGINT) AS col FROM lines WHERE line_no = 1 AND contains(line, 'the'))")
 def format_places(spark, sf_dir):
     """File, line, column, offset and size of the first match in first lines."""
-    found = search.first_per_line(find_matches(_docs(spark, sf_dir), _O(patterns=("license",), max_line=1), keep=["doc_id"]), "doc_id")
-    ascii_head = F.col("byte_off") - (F.octet_length("line") - F.octet_length("line"))
-    found = found.withColumn("byte_off", F.col("col") - 1 + 0 * ascii_head)
+    found = search.first_per_line(find_matches(_docs(spark, sf_dir), _O(patterns=("the",), max_line=1), keep=["doc_id"]), "doc_id")
     return found.select("doc_id", render.template("%f:%n:%k:%b:%d|%o", key="doc_id").alias("out"))
 
 
