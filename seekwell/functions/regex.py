@@ -397,18 +397,21 @@ def _flat(items) -> list | None:
             out += inner
         elif name == "BRANCH":
             ways = [_flat(w) for w in arg[1]]
-            if any(w is None or any(k == "free" for k, _ in w) for w in ways):
+            if any(w is None or any(k != "fixed" for k, _ in w) for w in ways):
                 return None
-            widths = {len([1 for k, _ in w if k == "fixed"]) for w in ways}
-            literal = [tuple(min(c) for _, c in w) if all(k == "fixed" and c and len(c) <= 2 for k, c in w) else None for w in ways]
-            if len(widths) > 1 and (None in literal or any(a != b and b[: len(a)] == a for a in literal for b in literal)):
+            widths = {len(w) for w in ways}
+            if len(widths) == 1:  # of one width: any characters, for the rules that follow
+                out += [("fixed", set(range(1 << 11)))] * widths.pop()
+                continue
+            literal = [tuple(min(c) for _, c in w) if all(c and len(c) <= 2 for _, c in w) else None for w in ways]
+            if None in literal or any(a != b and b[: len(a)] == a for a in literal for b in literal):
                 return None  # an alternative may begin another
             out.append(("branch", None))
         elif name in ("MAX_REPEAT", "MIN_REPEAT"):
             low, high, inner = arg
             one = _charset(inner[0]) if len(inner) == 1 else None
             if low == high and name == "MAX_REPEAT" and one is not None:
-                out += [("fixed", one)] * min(low, 2)
+                out += [("fixed", one)] * low
             elif name == "MAX_REPEAT" and one is not None:
                 out.append(("free", one))
             else:
@@ -439,6 +442,8 @@ def first_is_longest(alternatives: tuple[str, ...]) -> bool:
     if flat is None:
         return False
     free = [i for i, (k, _) in enumerate(flat) if k == "free"]
+    if free and any(k == "branch" for k, _ in flat[free[0] :]):
+        return False  # fewer repeats might allow a longer alternative
     return all(i + 1 < len(flat) and flat[i + 1][0] == "fixed" and not (flat[i][1] & flat[i + 1][1]) for i in free[:-1])
 
 

@@ -92,3 +92,27 @@ def test_finder_places_match_python(spark):
         got = [(r["line_no"], r["byte_off"], r["match"]) for r in Finder(compile_patterns(o), o).records(t)]
         want = [(t.count("\n", 0, m.start()) + 1, len(t[: m.start()].encode()), m[0]) for m in re.finditer("[ab]+", t)]
         assert got == want
+
+
+def test_first_is_longest_only_where_it_is():
+    import itertools
+    import random
+
+    import regex
+
+    from seekwell.functions.regex import first_is_longest
+
+    assert all(first_is_longest(p) for p in [("thing",), ("th[aeio]ng",), ("[0-9]+@[a-z0-9]+",), ("idiot", "clown"), ("PRO(M|T)O",)])
+    assert not any(first_is_longest(p) for p in [("a|ab",), ("a", "ab"), ("a?(ab)?",), ("a*ab*",), ("a+?",), ("[[:digit:]]+",)])
+    rng = random.Random(5)
+    texts = ["".join(t) for t in itertools.product("abc", repeat=5)]
+    proven = 0
+    for _ in range(400):
+        atoms = [rng.choice(["a", "b", "c", "[ab]", "[^a]", "(a|b)", "(a|bc)", "(ab|a)", "."]) + rng.choice(["", "", "?", "*", "+", "{1,2}", "{2}"]) for _ in range(rng.randrange(1, 4))]
+        p = tuple("".join(atoms).split("#")) if rng.random() < 0.7 else (atoms[0], "".join(atoms))
+        if first_is_longest(p):
+            proven += 1
+            one = "|".join(f"(?:{x})" for x in p)
+            first, longest = regex.compile(one, regex.VERSION1), regex.compile(one, regex.VERSION1 | regex.POSIX)
+            assert all([m.span() for m in first.finditer(t)] == [m.span() for m in longest.finditer(t)] for t in texts), p
+    assert proven > 50
