@@ -115,27 +115,36 @@ def last_rule(path, rules: list[tuple[str, bool]], *, default: bool = False, ign
 def ignored(files: DataFrame, ignore_files: dict[str, str], *, path: str = "path", ignore_case: bool = False) -> Column:
     """Whether a file is ignored: ``ignore_files`` maps a directory to the text of its ignore file, which holds below it.
 
-    Deeper files decide after the ones above them; ignore files are few and read on the driver."""
-    out = F.lit(False)
+    A rule is for entries themselves, files and (alone, if it ends in a slash) directories, and the last that matches an entry decides
+    for it; a directory that is ignored takes what is below along, but for files that a later override names. Deeper files
+    decide after the ones above them; ignore files are few and read on the driver. Null for a path that is null."""
+    rules = []
     for scope in sorted(ignore_files, key=lambda d: (d.count("/") if d not in ("", ".") else -1, d)):
         prefix = "" if scope in ("", ".") else scope.strip("/") + "/"
-        full = normal_path(path)
-        inside = F.startswith(full, F.lit(prefix)) if prefix else F.lit(True)
-        rest = F.substring(full, F.lit(len(prefix) + 1), F.length(full))
-        for glob, override in rules_of(ignore_files[scope]):
-            hit = _ignore_rule(rest, glob, ignore_case)
-            out = F.when(inside & hit, F.lit(not override)).otherwise(out)
-    return out
+        rules += [(prefix, glob, override) for glob, override in rules_of(ignore_files[scope]) if glob.strip("/")]
+
+    def last(entry: Column, name: Column, directory: bool) -> Column:
+        """Number of the last rule that matches, below 0 for an override; 0 for none."""
+        out = F.lit(0)
+        for n, (prefix, glob, override) in enumerate(rules, 1):
+            if directory or not glob.endswith("/"):
+                out = F.when(_ignore_rule(entry, name, prefix, glob, ignore_case), F.lit(-n if override else n)).otherwise(out)
+        return out
+
+    full = normal_path(path)
+    parts = F.split(full, "/")
+    own = last(full, F.element_at(parts, -1), False)
+    above = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda d, i: last(F.array_join(F.slice(parts, F.lit(1), i + 1), "/"), d, True))
+    return F.when(full.isNotNull(), F.greatest(own, F.array_max(above)) > F.greatest(-own, F.lit(0)))
 
 
-def _ignore_rule(rest: Column, glob: str, ignore_case: bool) -> Column:
-    directory = glob.endswith("/")
+def _ignore_rule(entry: Column, name: Column, prefix: str, glob: str, ignore_case: bool) -> Column:
     g = glob.rstrip("/")
-    anchored = "/" in g
-    g = g.removeprefix("/")
     flag = "(?si)" if ignore_case else "(?s)"
-    lead = "\\A" if anchored else "(?:\\A|/)"
-    return rest.rlike(f"{flag}{lead}{glob_regex(g)}{'/' if directory else '(?:/|$)'}")
+    if "/" in g:
+        return entry.rlike(f"(?s)\\A{re.escape(prefix)}{flag}{glob_regex(g.removeprefix('./').removeprefix('/'))}\\z")
+    hit = name.rlike(f"{flag}\\A{glob_regex(g)}\\z")
+    return F.startswith(entry, F.lit(prefix)) & hit if prefix else hit
 
 
 def size_bytes(text: str) -> int:

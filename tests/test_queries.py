@@ -71,3 +71,14 @@ def test_decoding_leaves_no_document_out(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert {r[0]: r[1:] for r in con.execute(ORACLE_SQL["decode_all_documents"]).fetchall()} == got
+
+
+def test_ignore_rules_of_directories_hold_below(spark, tmp_path):
+    """An override of names with a 9 is for pages; one of a directory's or a host's name doesn't bring back what is below."""
+    paths = ["a.org/en/926/", "a.org/en/9/b.html", "a9.org/en/b.html", "a.org/en/b9.html", "a.org/en/b.html", "a.org/en9/b.html", "a.org/x/en/b.html", "a.org/en", "a.org/en/", "a.org/en/9\n", "a.example.net/9.html", "a9.example.net/en/b", "a.org", ""]
+    spark.createDataFrame([(i, f"https://{p}", "") for i, p in enumerate(paths)] + [(99, None, "")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(tuple(r) for r in QUERIES["ignore_rules"](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert got == sorted(con.execute(ORACLE_SQL["ignore_rules"]).fetchall())
+    assert [paths[i] for i, _ in got] == ["a.org/en/b9.html", "a.org/en9/b.html", "a.org/x/en/b.html", "a.org/en", "a.org/en/9\n", "a.org", ""]

@@ -50,6 +50,16 @@ def test_selection_rules(spark):
         Y.resolve("p")
 
 
+def test_ignore_rules_are_for_entries(spark):
+    df = spark.createDataFrame([(p,) for p in ("a.c", "k/a.c", "k/a.h", "x/a.h", "x/k/a.h", "d/k/a.h", "d/K/a.h", "dk/a.h", "x/k9/a.h", "x/9/k9.h")], "path string")
+    of = lambda *a, **k: [p for p, in rows(df.filter(G.ignored(df, *a, **k)), "path")]
+    assert of({".": "*.c\n!k/\n"}) == ["a.c", "k/a.c"]  # a directory's override isn't its files'
+    assert of({".": "x/\n*9*\n!k9\n"}) == ["x/9/k9.h", "x/a.h", "x/k/a.h", "x/k9/a.h"]  # an ignored directory takes along what is below
+    assert of({".": "x/\n!*9*\n"}) == ["x/a.h", "x/k/a.h", "x/k9/a.h"]  # but not a file that is named later
+    assert of({".": "/*/\n!k\n!/x/\n"}) == ["d/K/a.h", "d/k/a.h", "dk/a.h"]
+    assert of({"d": "k\n"}) == ["d/k/a.h"] and of({"d": "/k/\n"}, ignore_case=True) == ["d/K/a.h", "d/k/a.h"] and of({"": "!\n/\n./k/\n"}) == ["k/a.c", "k/a.h"]
+
+
 def test_magic(spark):
     df = spark.createDataFrame([("run", bytearray(b"#!/bin/bash\nls\n")), ("x.pdf", bytearray(b"%PDF-1.4"))], "path string, content binary")
     assert rows(df.filter(Y.type_condition("path", "Shell", "content")), "path") == [("run",)]
