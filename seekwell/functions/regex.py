@@ -447,6 +447,31 @@ def first_is_longest(alternatives: tuple[str, ...]) -> bool:
     return all(i + 1 < len(flat) and flat[i + 1][0] == "fixed" and not (flat[i][1] & flat[i + 1][1]) for i in free[:-1])
 
 
+def _width(p: str) -> int | None:
+    """Characters of every match of a pattern, None where they may differ or aren't known."""
+    if re.search(r"\[\[|\[:|&&|\|\||~~|--|\\[pPRXhHNKGwWdDsSbBAzZ1-9Qx]|\(\?[^:P<]|\(\?<[=!]", p):
+        return None
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("error")
+            flat = _flat(_parser.parse(p.replace("(?<", "(?P<")))
+    except (re.error, FutureWarning, DeprecationWarning, OverflowError, RecursionError):
+        return None
+    return None if flat is None or any(k != "fixed" for k, _ in flat) else len(flat)
+
+
+def by_width(made: list[Translated]) -> list[Translated] | None:
+    """All alternatives, the widest first, so that the first to match at a place is the longest; None if one has no fixed width."""
+    ways: list[tuple[int, Translated]] = []
+    for t in made:
+        own, other = split_alternatives(t.jvm), split_alternatives(t.finder)
+        widths = [_width(x) for x in other]
+        if len(own) != len(other) or None in widths:
+            return None
+        ways += [(n, Translated(a, b)) for n, a, b in zip(widths, own, other)]
+    return [t for _, t in sorted(ways, key=lambda w: -w[0])]
+
+
 @dataclass(frozen=True)
 class Compiled:
     """Patterns ready to use: one JVM regex, the finder's alternatives, negatives first, and what holds of all matches."""
@@ -460,11 +485,12 @@ class Compiled:
     keeps_empty: bool
     ignore_case: bool
     multiline: bool
+    ordered: str = ""  # for the JVM, the widest alternative first; '' where a width isn't fixed
 
     @property
-    def jvm_finds_longest(self) -> bool:
-        """Whether the JVM's first match is the match to report."""
-        return not self.longest or first_is_longest(self.finder)
+    def jvm_longest(self) -> str:
+        """The JVM regex whose first match is the match to report, '' if that isn't proven of any."""
+        return self.jvm if not self.longest or first_is_longest(self.finder) else self.ordered
 
 
 def compile_patterns(o: SearchOptions) -> Compiled:
@@ -497,7 +523,10 @@ def compile_patterns(o: SearchOptions) -> Compiled:
             return Translated(rf"(?<!\w)(?:{t.jvm})(?!\w)", rf"(?<!\w)(?:{t.finder})(?!\w)")
         return t
 
-    made = [wrap(one(x)) for x in positives]
+    plain = [one(x) for x in positives]
+    made = [wrap(t) for t in plain]
+    # case folding is left out: the engines don't fold alike
+    ordered = None if perl or fold or o.free_space else by_width(plain)
     against = [wrap(one(x)) for x in negatives]
     flags = "(?d" + ("i" if fold else "") + ("u" if fold and perl else "") + ("" if o.ascii else "U") + ("s" if o.dot_all else "") + ("x" if o.free_space else "") + "m)"
     multiline = any(re.search(r"\\n|\\R|\n|\\x0A|\(\?s|\[\^?[^\]]*\\n", x) for x in positives) or o.dot_all
@@ -506,4 +535,5 @@ def compile_patterns(o: SearchOptions) -> Compiled:
     return Compiled(
         jvm=flags + "|".join(f"(?:{t.jvm})" for t in made) if made else "(?!)",
         finder=tuple(t.finder for t in made), negatives=tuple(t.finder for t in against), longest=not perl, literal=sure[0] if len(sure) == 1 and not fold and not o.free_space else "",
-        matches_all=matches_all, keeps_empty=o.empty or ends or matches_all, ignore_case=fold, multiline=multiline)
+        matches_all=matches_all, keeps_empty=o.empty or ends or matches_all, ignore_case=fold, multiline=multiline,
+        ordered=flags + "|".join(f"(?:{wrap(t).jvm})" for t in ordered) if ordered else "")

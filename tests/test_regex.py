@@ -116,3 +116,22 @@ def test_first_is_longest_only_where_it_is():
             first, longest = regex.compile(one, regex.VERSION1), regex.compile(one, regex.VERSION1 | regex.POSIX)
             assert all([m.span() for m in first.finditer(t)] == [m.span() for m in longest.finditer(t)] for t in texts), p
     assert proven > 50
+
+
+def test_alternatives_of_fixed_width_go_widest_first():
+    import itertools
+    import random
+
+    import regex
+
+    from seekwell.functions.regex import compile_patterns
+
+    rng = random.Random(7)
+    texts = ["".join(t) for t in itertools.product("abc", repeat=6)]
+    for _ in range(150):
+        made = ["|".join("".join(rng.choice(["a", "b", "c", "[ab]", "(a|b)", "a{2}", r"\Qb\E"]) for _ in range(rng.randrange(1, 4))) for _ in range(rng.randrange(1, 3))) for _ in range(rng.randrange(1, 4))]
+        c = compile_patterns(O(patterns=tuple(made)))
+        first, longest = regex.compile(c.jvm_longest.removeprefix("(?dUm)")), regex.compile("|".join(f"(?:{x})" for x in c.finder), regex.VERSION1 | regex.POSIX)
+        assert all([m.span() for m in first.finditer(t)] == [m.span() for m in longest.finditer(t)] for t in texts), made
+    assert not any(compile_patterns(o).jvm_longest for o in (O(patterns=("a|ab+",)), O(patterns=("a", "ab"), ignore_case=True), O(patterns=("a|ab  # c|d",), free_space=True)))
+    assert not any(compile_patterns(O(patterns=p)).ordered for p in (("a?", "ab"), (r"\w", "ab"), ("th(e|ere)",)))
