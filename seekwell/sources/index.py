@@ -1,13 +1,17 @@
 """A data-skipping index: per file a table of hashed n-grams, tested before the file is read.
 
 A table has ``2**log2`` rows of eight bits; bit k of a row is cleared where a (k+1)-gram of the file hashes to
-it.  It is built with 65536 rows and folded in half while the share of set bits it would keep stays within
+it.  It is what a table of 65536 rows comes to that is folded in half while the share of set bits it would keep stays within
 the accuracy's limit.  A pattern's sure literals of up to eight bytes are looked up: a file is skipped only
 if some gram of a literal is absent, so no match is lost.  A file changed after it was indexed is searched.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+from operator import or_
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -19,26 +23,40 @@ from ..model import SearchOptions
 from ..shipping import ship
 
 GRAMS, FULL, LEAST = 8, 16, 7
+#: Bytes of tables that a task makes before it passes them on.
+SLICE = 4 << 20
 INDEX = T.StructType([T.StructField("log2", T.IntegerType()), T.StructField("noise", T.DoubleType()), T.StructField("table", T.BinaryType())])
 
 
 def _hashes(data: np.ndarray, k: int) -> np.ndarray:
     """16-bit hash of every (k+1)-gram."""
-    h = data[: len(data) - k].astype(np.uint32)
-    for j in range(1, k + 1):
-        h = (61 * h + data[j : len(data) - k + j]) & 0xFFFF
-    return h
+    return _next_hashes(data, k, _hashes(data, k - 1)) if k else data.astype(np.uint16)
+
+
+def _next_hashes(data: np.ndarray, k: int, shorter: np.ndarray) -> np.ndarray:
+    """Hashes of (k+1)-grams from those of k-grams; 16 bits overflow as they should."""
+    return np.uint16(61) * shorter[: len(data) - k] + data[k:]
+
+
+def _sizes(longest: int, most: float) -> int:
+    """The log2 of a table so large that a file of ``longest`` bytes can't make it noisier than ``most``: it would be folded to this size."""
+    size = LEAST
+    while size < FULL and longest > most / 2 * (1 << size):
+        size += 1
+    return size
 
 
 def build_table(content: bytes, accuracy: int = 4) -> tuple[int, float, bytes]:
     """(log2 of the rows, share of absent bits cleared by chance, table)."""
     data = np.frombuffer(content, np.uint8)
-    table = np.full(1 << FULL, 0xFF, np.uint8)
-    for k in range(min(GRAMS, len(data))):
-        table[np.unique(_hashes(data, k))] &= np.uint8(0xFF ^ (1 << k))
     most = 0.1 + 0.7 * (9 - accuracy) / 9
-    noise = lambda t: 1 - np.bitwise_count(t).sum() / (8 * len(t))
-    size = FULL
+    size = _sizes(len(data), most)
+    table, mask, h = np.full(1 << size, 0xFF, np.uint8), np.uint16((1 << size) - 1), data.astype(np.uint16)
+    for k in range(min(GRAMS, len(data))):
+        h = _next_hashes(data, k, h) if k else h
+        at = h & mask
+        table[at] &= np.uint8(0xFF ^ (1 << k))  # a row that comes twice gets the same value twice
+    noise = lambda t: 1 - np.bitwise_count(t.view(np.uint64)).sum(dtype=np.int64) / (8 * len(t))
     while size > LEAST:
         half = table[: len(table) // 2] & table[len(table) // 2 :]
         if noise(half) > most:
@@ -47,6 +65,19 @@ def build_table(content: bytes, accuracy: int = 4) -> tuple[int, float, bytes]:
     return size, float(noise(table)), table.tobytes()
 
 
+def tables(batches: Iterator[pa.RecordBatch], accuracy: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows of the index in slices of a few MB: tables may be larger than their files."""
+    for batch in batches:
+        made, held, first = [], 0, 0
+        for i, c in enumerate(batch.column(2), 1):
+            made.append(build_table(c.as_py() or b"", accuracy))
+            held += len(made[-1][2])
+            if held >= SLICE or i == batch.num_rows:
+                keys = [batch.column(j).slice(first, i - first) for j in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*keys, *(pa.array([m[j] for m in made], t) for j, t in enumerate((pa.int32(), pa.float64(), pa.binary())))], names=names)
+                made, held, first = [], 0, i
+
+
 def admits(table: bytes, log2: int, literal: bytes) -> bool:
     """Whether a file with this table could hold the literal."""
     data = np.frombuffer(literal[:256], np.uint8)
@@ -64,13 +95,8 @@ def build(files: DataFrame, *, key: str = "path", content: str = "content", mtim
         src = src.filter(~F.contains(F.col("c"), F.lit(b"\0")))
     schema = T.StructType([src.schema["key"], src.schema["mtime"], *INDEX.fields])
 
-    def run(batches):
-        for batch in batches:
-            made = [build_table(c.as_py() or b"", accuracy) for c in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([m[0] for m in made], pa.int32()), pa.array([m[1] for m in made], pa.float64()), pa.array([m[2] for m in made], pa.binary())], names=schema.names)
-
     ship(files.sparkSession)
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(lambda batches: tables(batches, accuracy, schema.names), schema)
 
 
 def stale(index: DataFrame, files: DataFrame, *, key: str = "path", mtime: str = "modificationTime") -> DataFrame:
@@ -108,16 +134,19 @@ def literals(options: SearchOptions) -> list[bytes] | None:
 
 
 def prune_condition(options: SearchOptions) -> Column:
-    """Whether a file's table (columns log2 and table) admits a match."""
+    """Whether a file's table (columns log2 and table) admits a match, by built-in expressions: no table goes through Python."""
     sure = literals(options)
     if not sure:
         return F.lit(True)
 
-    @F.arrow_udf("boolean")
-    def ok(table: pa.Array, log2: pa.Array) -> pa.Array:
-        return pa.array([t is None or any(admits(t, n, x) for x in sure) for t, n in zip(table.to_pylist(), log2.to_pylist())], pa.bool_())
+    def holds(literal: bytes) -> Column:
+        data = np.frombuffer(literal[:256], np.uint8)
+        grams = sorted({(int(h), k) for k in range(min(GRAMS, len(data))) for h in _hashes(data, k)})
+        wanted = F.array(*(F.struct(F.lit(h).alias("h"), F.lit(1 << k).alias("bit")) for h, k in grams))
+        row = lambda x: F.substring(F.col("table"), x["h"].bitwiseAND(F.call_function("shiftleft", F.lit(1), F.col("log2")) - 1) + 1, F.lit(1))
+        return F.forall(wanted, lambda x: F.ascii(F.decode(row(x), "ISO-8859-1")).bitwiseAND(x["bit"]) == 0)
 
-    return ok("table", "log2")
+    return F.coalesce(reduce(or_, map(holds, sure)), F.lit(True))
 
 
 def pruned(files: DataFrame, index: DataFrame, options: SearchOptions, *, key: str = "path", mtime: str = "modificationTime") -> DataFrame:

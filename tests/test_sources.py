@@ -233,3 +233,53 @@ def test_streams(spark, tmp_path):
     q.awaitTermination()
     assert rows(spark.read.parquet(str(out)), "line_no", "line", "hit") == [(1, "a", False), (2, "hit", True), (3, "b", False), (5, "d", False), (6, "hit", True), (7, "e", False)]
     assert ST.stream_lines(stream, O(patterns=("x",)), "line").isStreaming
+
+
+def test_index_tables_are_passed_on_in_slices():
+    import pyarrow as pa
+
+    rng = __import__("random").Random(6)
+    texts = [rng.randbytes(40_000) for _ in range(150)] + [b"", None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(152)), pa.array([0] * 152), pa.array(texts, pa.binary())], names=["key", "mtime", "c"])
+    made = list(I.tables([batch, batch.slice(150), batch.slice(0, 0)], 9, ["key", "mtime", "log2", "noise", "table"]))
+    assert [k for b in made for k in b.column(0).to_pylist()] == [*range(152), 150, 151] and max(b.nbytes for b in made) < 5 << 20
+    assert [t for b in made for t in b.column(4).to_pylist()][:152] == [I.build_table(t or b"", 9)[2] for t in texts]
+
+
+def _table_by_definition(content, accuracy):
+    """As the index's own description says: filled at full size, folded in half while it isn't too noisy."""
+    bits = {(k, sum(61 ** (k - j) * c for j, c in enumerate(content[i : i + k + 1])) & 0xFFFF) for k in range(8) for i in range(len(content) - k)}
+    size, most = 16, 0.1 + 0.7 * (9 - accuracy) / 9
+    while size > 7 and len({(k, h & ((1 << size - 1) - 1)) for k, h in bits}) / (8 << size - 1) <= most:
+        size -= 1
+    table = bytearray(b"\xff" * (1 << size))
+    for k, h in bits:
+        table[h & ((1 << size) - 1)] &= 0xFF ^ (1 << k)
+    return size, bytes(table)
+
+
+def test_index_tables_are_by_definition_and_made_fast():
+    import time
+
+    rng = __import__("random").Random(8)
+    for n in (0, 1, 2, 7, 8, 60, 400, 3000):
+        for accuracy in (0, 4, 9):
+            data = bytes(rng.choice(b"abcdefgh \xc3\xff\0") for _ in range(n))
+            assert I.build_table(data, accuracy)[::2] == _table_by_definition(data, accuracy), (n, accuracy)
+    assert len(I.build_table(b"x" * 200, 4)[2]) == 128
+    began = time.process_time()
+    for _ in range(300):
+        I.build_table(b"a few words of a short text")
+    assert time.process_time() - began < 0.15  # 1.4 ms each when every table was made at full size
+
+
+def test_index_is_tested_without_python(spark):
+    rng = __import__("random").Random(9)
+    df = spark.createDataFrame([(i, "".join(rng.choice("abcdé ") for _ in range(rng.randrange(300)))) for i in range(60)], "key int, content string")
+    made = I.build(df.withColumn("mtime", F.lit(0)), key="key", mtime="mtime").localCheckpoint()
+    for p in ("abc", "é b", "abcdabcdabcd", "a", "ab|cd é"):
+        o = O(patterns=(p,))
+        got = made.select("table", "log2", I.prune_condition(o).alias("ok"))
+        assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+        assert all(r.ok == any(I.admits(bytes(r.table), r.log2, x) for x in I.literals(o)) for r in got.collect()), p
+    assert made.select(F.lit(None).cast("binary").alias("table"), "log2").select(I.prune_condition(O(patterns=("abc",)))).distinct().collect() == [(True,)]
