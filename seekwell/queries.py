@@ -10,7 +10,6 @@ import tempfile
 import uuid
 import zipfile
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -411,8 +410,7 @@ def index_prune(spark, sf_dir):
     return _numbered(search.matching_lines(index.pruned(files, made, o, key="doc_id", mtime="mtime"), o, key="doc_id"))
 
 
-def _packed(kind: int, name: str, text: str | None) -> bytes:
-    data = (text or "").encode()
+def _packed(kind: int, name: str, data: bytes) -> bytes:
     if kind == 3:
         out = io.BytesIO()
         with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
@@ -424,12 +422,7 @@ def _packed(kind: int, name: str, text: str | None) -> bytes:
 @_query("SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN 'f' || doc_id || '{t.txt}' ELSE 'f' || doc_id END AS key, md5(text) AS digest FROM documents", with_lines=False)
 def archive_parts(spark, sf_dir):
     """Documents packed by gzip, bzip2, xz or zip and read back as archive parts."""
-
-    @F.pandas_udf("binary")
-    def pack(i: pd.Series, t: pd.Series) -> pd.Series:
-        return pd.Series([_packed(int(n) % 4, "t.txt", x) for n, x in zip(i, t)])
-
-    files = _docs(spark, sf_dir).select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("path"), pack("doc_id", "text").alias("content"))
+    files = archives.packed(_docs(spark, sf_dir), lambda i, t: _packed(i % 4, "t.txt", t))
     return archives.expand(files).select(F.substring_index(F.substring("path", 2, 99), "{", 1).cast("long").alias("doc_id"), "key", F.md5("content").alias("digest"))
 
 

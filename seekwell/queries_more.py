@@ -6,7 +6,6 @@ import gzip
 import io
 import tarfile
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from .functions.find import find_matches
@@ -194,13 +193,8 @@ def _tar(name: str, data: bytes) -> bytes:
 @_query("SELECT doc_id, 'f' || doc_id || '{t.txt}' AS key, md5(text) AS digest FROM documents", with_lines=False)
 def archive_members(spark, sf_dir):
     """Documents as members of tar, cpio and compressed tar archives, read back."""
-
-    @F.pandas_udf("binary")
-    def pack(i: pd.Series, t: pd.Series) -> pd.Series:
-        of = (_tar, _newc, lambda n, d: gzip.compress(_tar(n, d)))
-        return pd.Series([of[int(n) % 3]("t.txt", (x or "").encode()) for n, x in zip(i, t)])
-
-    files = _docs(spark, sf_dir).select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("path"), pack("doc_id", "text").alias("content"))
+    of = (_tar, _newc, lambda n, d: gzip.compress(_tar(n, d)))
+    files = archives.packed(_docs(spark, sf_dir), lambda i, t: of[i % 3]("t.txt", t))
     parts = archives.expand(files, depth=2)
     return parts.select(F.substring_index(F.substring("path", 2, 99), "{", 1).cast("long").alias("doc_id"), "key", F.md5("content").alias("digest"))
 

@@ -283,3 +283,27 @@ def test_index_is_tested_without_python(spark):
         assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
         assert all(r.ok == any(I.admits(bytes(r.table), r.log2, x) for x in I.literals(o)) for r in got.collect()), p
     assert made.select(F.lit(None).cast("binary").alias("table"), "log2").select(I.prune_condition(O(patterns=("abc",)))).distinct().collect() == [(True,)]
+
+
+def test_archive_parts_are_held_in_slices():
+    import pyarrow as pa
+
+    from seekwell.shipping import slices
+
+    made = []
+    rows = ((str(i), made.append(i) or b"x" * (1 << 20)) for i in range(40))
+    seen = 0
+    for b in slices(rows, [("path", pa.string()), ("content", pa.binary())]):
+        seen += b.num_rows
+        assert b.num_rows <= 4 and len(made) - seen <= 1
+    assert seen == 40 and not list(slices(iter(()), [("path", pa.string())]))
+    assert [b.num_rows for b in slices([(b"x" * (9 << 20),), (None,), (b"",)], [("c", pa.binary())])] == [1, 2]
+    assert [b.num_rows for b in slices([(None,)] * 9000, [("c", pa.binary())])] == [8192, 808]
+
+
+def test_packed_documents(spark):
+    df = spark.createDataFrame([(3, "é"), (5, None), (None, "x")], "doc_id long, text string")
+    got = {r.path: bytes(r.content) for r in A.packed(df, lambda i, t: b"%d:" % i + t).collect()}
+    assert got == {"f3": b"3:" + "é".encode(), "f5": b"5:", None: b"0:x"}
+    parts = A.expand(A.packed(df, lambda i, t: gzip.compress(t) if i == 3 else t), depth=2)
+    assert {(r.key, bytes(r.content)) for r in parts.collect()} == {("f3", "é".encode()), ("f5", b""), (None, b"x")}
