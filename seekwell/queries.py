@@ -197,8 +197,8 @@ def ungroup(spark, sf_dir):
 @_query("""SELECT doc_id, line_no, CAST(strpos(line, 'eron') AS BIGINT) AS col, CAST(off + strlen(left(line, strpos(line, 'eron') - 1)) AS BIGINT) AS byte_off
 FROM (SELECT *, coalesce(sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM lines) WHERE contains(line, 'eron')""")
 def line_column_offset(spark, sf_dir):
-    found = find_matches(_docs(spark, sf_dir), _O(patterns=("eron",)), keep=["doc_id"])
-    return search.first_per_line(found, "doc_id").select("doc_id", "line_no", "col", "byte_off")
+    found = search.first_matches(_docs(spark, sf_dir), _O(patterns=("eron",)), "doc_id")
+    return found.select("doc_id", "line_no", "col", "byte_off")
 
 
 @_query("""SELECT doc_id, line_no, line, CAST(coalesce(sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_off FROM lines""")
@@ -272,7 +272,7 @@ def accept_index(spark, sf_dir):
 
 @_query(r"""SELECT doc_id, '"' || doc_id || '",' || line_no || ',' || strpos(line, 'license') || ',"' || replace(replace(line, '\', '\\'), '"', '""') || '"' AS out FROM lines WHERE contains(line, 'license')""")
 def format_csv(spark, sf_dir):
-    found = search.first_per_line(find_matches(_docs(spark, sf_dir), _O(patterns=("license",)), keep=["doc_id"]), "doc_id")
+    found = search.first_matches(_docs(spark, sf_dir), _O(patterns=("license",)), "doc_id")
     return render.csv_records(found, key="doc_id", line=True, column=True).select("doc_id", "out")
 
 
@@ -281,13 +281,13 @@ _JSON_LINE = r"""replace(replace(line, '\', '\\'), '"', '\"')"""
 
 @_query(rf"""SELECT doc_id, '{{ "file": "' || doc_id || '", "matches": [' || string_agg('{{ "line": ' || line_no || ', "match": "' || {_JSON_LINE} || '" }}', ', ' ORDER BY line_no) || '] }}' AS out FROM lines WHERE contains(line, 'license') GROUP BY doc_id""")
 def format_json(spark, sf_dir):
-    found = search.first_per_line(find_matches(_docs(spark, sf_dir), _O(patterns=("license",)), keep=["doc_id"]), "doc_id")
+    found = search.first_matches(_docs(spark, sf_dir), _O(patterns=("license",)), "doc_id")
     return render.json_files(found, key="doc_id", line=True)
 
 
 @_query(r"""SELECT doc_id, '<file name="' || doc_id || '">' || string_agg('<match line="' || line_no || '">' || replace(replace(replace(replace(line, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') || '</match>', '' ORDER BY line_no) || '</file>' AS out FROM lines WHERE contains(line, '&&&') GROUP BY doc_id""")
 def format_xml(spark, sf_dir):
-    found = search.first_per_line(find_matches(_docs(spark, sf_dir), _O(patterns=("&&&",), dialect="fixed"), keep=["doc_id"]), "doc_id")
+    found = search.first_matches(_docs(spark, sf_dir), _O(patterns=("&&&",), dialect="fixed"), "doc_id")
     return render.xml_files(found, key="doc_id", line=True)
 
 
@@ -378,7 +378,7 @@ def multi_line(spark, sf_dir):
 
 @_query(r"SELECT doc_id, line_no, CASE WHEN s > 10 THEN '...' || substr(line, s - 7, 8) ELSE substr(line, 1, s) END || 'license' || substr(line, s + 8, CASE WHEN length(line) - s - 7 > 10 THEN 7 ELSE 10 END) || CASE WHEN length(line) - s - 7 > 10 THEN '...' ELSE '' END AS context FROM (SELECT *, strpos(line, 'license') - 1 AS s FROM lines) WHERE s >= 0")
 def column_context(spark, sf_dir):
-    found = search.first_per_line(find_matches(_docs(spark, sf_dir), _O(patterns=("license",)), keep=["doc_id"]), "doc_id")
+    found = search.first_matches(_docs(spark, sf_dir), _O(patterns=("license",)), "doc_id")
     return context.column_context(found, 10).select("doc_id", "line_no", "context")
 
 

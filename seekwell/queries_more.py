@@ -158,7 +158,7 @@ def sort_by_size(spark, sf_dir):
 @_query("SELECT doc_id, doc_id || ':' || line_no || ':' || col || ':' || strlen(left(line, col - 1)) || ':3|the' AS out FROM (SELECT *, CAST(strpos(line, 'the') AS BIGINT) AS col FROM lines WHERE line_no = 1 AND contains(line, 'the'))")
 def format_places(spark, sf_dir):
     """File, line, column, offset and size of the first match in first lines."""
-    found = search.first_per_line(find_matches(_docs(spark, sf_dir), _O(patterns=("the",), max_line=1), keep=["doc_id"]), "doc_id")
+    found = search.first_matches(_docs(spark, sf_dir), _O(patterns=("the",), max_line=1), "doc_id")
     return found.select("doc_id", render.template("%f:%n:%k:%b:%d|%o", key="doc_id").alias("out"))
 
 
